@@ -46,9 +46,26 @@ def attr(tok: Column, name: str) -> Column:
     return F.when(has, attr_of(attributes(tok), name))
 
 
-def own(name: str, attrs: str = "attrs") -> Column:
-    """Attribute of a row of the balanced stream, from its ``attrs`` column."""
-    return F.expr(f"get(filter({attrs}, a -> a.name = '{name}'), 0).value")
+# The attributes of a tag up to the one looked for.
+_EARLIER = r"""(?is)^<[^\s/>]+(?:\s+[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+"""
+
+
+def own(name: str, tok: str | Column = "tok") -> Column:
+    """Value of an attribute straight from the source of its tag; empty without it.
+
+    Only expressions that compile into the stage around them, for use on every row.
+    """
+    tok = F.col(tok) if isinstance(tok, str) else tok
+    pattern = _EARLIER + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    return F.coalesce(F.btrim(F.regexp_extract(tok, pattern, 1), F.lit("\"'")), F.lit(""))
+
+
+def has_attr(name: str) -> Column:
+    return F.coalesce(F.col("tok").rlike(_EARLIER + name + r"(?:[\s=/>])"), F.lit(False))
+
+
+def has_class(cls: Column, names) -> Column:
+    return F.coalesce(cls.rlike(r"(^|\s)(" + "|".join(names) + r")(\s|$)"), F.lit(False))
 
 
 def attrs_map(tok: Column) -> Column:
@@ -61,11 +78,5 @@ def attrs_map(tok: Column) -> Column:
     )
 
 
-def has_class(cls: Column, names) -> Column:
-    return F.coalesce(
-        F.arrays_overlap(F.split(cls, r"\s+"), F.array(*[F.lit(n) for n in names])), F.lit(False)
-    )
-
-
 def match_string(cls: Column, ident: Column) -> Column:
     return F.concat(F.coalesce(cls, F.lit("")), F.lit(" "), F.coalesce(ident, F.lit("")))

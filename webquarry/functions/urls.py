@@ -52,18 +52,11 @@ _SAFE = r"!#$%&'()*+,\-./0-9:;=?@A-Z\[\]_a-z~|^\\"
 
 def percent_encode(c: Column) -> Column:
     """UTF-8 percent signs for what an address may not hold."""
-
-    def one(p: Column) -> Column:
-        return F.when(p.rlike(f"^[{_SAFE}]"), p).otherwise(
-            F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
-        )
-
-    def coded(v: Column) -> Column:
-        pieces = F.regexp_extract_all(v, F.lit(f"[{_SAFE}]+|[^{_SAFE}]+"), F.lit(0))
-        joined = F.array_join(F.transform(pieces, one), "")
-        return F.when(v.rlike(f"[^{_SAFE}]"), joined).otherwise(v)
-
-    return let(c, coded)
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    # what may stay, the percent sign itself last
+    for sign in "!#$&'()+,/:;=?@[]~|^\\%":
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return F.when(c.rlike(f"[^{_SAFE}]"), out).otherwise(c)
 
 
 def _remove_dots(path: Column) -> Column:

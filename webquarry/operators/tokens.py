@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webquarry.functions import constants as C
 from webquarry.functions import markup as M
+from webquarry.functions import text as X
 from webquarry.functions import urls as U
 
 PAGE = ["page_id"]
@@ -128,58 +129,97 @@ def _body_start(toks: Column) -> Column:
 _OUTSIDE = r"(?i)^(<!|<\?|</[^a-zA-Z]|</?(html|head|body)\b)"
 
 
-def page_stream(pages: DataFrame) -> DataFrame:
-    """Body tokens of every page with what the page itself says on its first row (``head``).
+def spread(pages: DataFrame, by=PAGE) -> DataFrame:
+    """Spread the pages by key, into a fixed number of partitions.
 
-    ``pages`` needs ``page_id, url, html``; further columns are not carried. Comments and the
-    head of the page are dropped inside the array, so they never become rows.
+    The explode multiplies the rows after this exchange, so they must not be merged by the
+    size of the raw pages.
+    """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(parts, *by)
+
+
+# what a row of the stream carries besides its place
+FIELDS = ["kind", "tag", "tok", "url", "label", "hint"]
+
+
+def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = None,
+                spread_out: bool = True, lazy: bool = False) -> DataFrame:
+    """Body tokens of every page, with what the page itself says on its first row.
+
+    ``pages`` needs ``by…, url, html``. Comments and the head of the page are dropped inside the
+    array, so they never become rows. ``head`` is JSON (``HEAD``) and ``extra`` are further
+    strings computed from a page; all columns are plain strings, which keeps sorting cheap.
+    ``url`` is the absolute address of a link or image, ``label`` its alternative text and
+    ``hint`` its title.
     """
     html = F.col("html")
     title = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     body_tok = F.regexp_extract(html, r"(?is)(<body\b[^>]*>)", 1)
     base_tok = F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1)
-    base = F.when(
-        base_tok != "",
-        F.coalesce(U.absolutize(M.attr(base_tok, "href"), F.col("url")), F.col("url")),
-    ).otherwise(F.col("url"))
-    # a fixed number of partitions: the explode multiplies the rows after this exchange, so
-    # they must not be merged by the size of the raw pages
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if spread_out:
+        pages = spread(pages, by)
     toks = F.col("toks")
     inside = F.filter(
         F.slice(toks, F.col("start") + 1, F.greatest(F.size(toks) - F.col("start"), F.lit(0))),
         lambda t: ~t.rlike(_OUTSIDE),
     )
-    rows = (
-        pages.repartition(parts, "page_id")
-        .select(
-            "page_id",
-            F.struct(
-                F.col("url"),
-                base.alias("base"),
-                title.alias("title"),
-                F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1).alias("html_tok"),
-                body_tok.alias("body_tok"),
-                M.attributes(body_tok).alias("body_attrs"),
-            ).alias("head"),
-            split_html(F.coalesce(html, F.lit(""))).alias("toks"),
-        )
-        .withColumn("start", _body_start(toks))
-        .select("page_id", "head", F.posexplode_outer(inside).alias("pos", "tok"))
-        .select(
-            "page_id",
-            F.coalesce("pos", F.lit(0)).alias("pos"),
-            F.coalesce("tok", F.lit("")).alias("tok"),
-            F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("head")).alias("head"),
-        )
+    own_base = M.own("href", base_tok)
+    page = pages.select(
+        *by,
+        F.struct(F.col("url"), title.alias("title"),
+                 F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1).alias("html_tok")).alias("head"),
+        F.when(own_base != "", U.absolutize(own_base, F.col("url"))).otherwise(F.col("url")).alias("base"),
+        body_tok.alias("body_tok"),
+        split_html(F.coalesce(html, F.lit(""))).alias("toks"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
+    ).withColumn("start", _body_start(toks))
+    once = ["body_tok", *(extra or {})]
+    rows = page.select(
+        *by, F.to_json("head").alias("head"), "base", *once, F.posexplode_outer(inside).alias("pos", "tok"),
     )
-    rows = rows.withColumn("tag", M.tag_name(F.col("tok")))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    rows = rows.select(
+        *by, F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("tok", F.lit("")).alias("tok"),
+        *[F.when(first, F.col(c)).alias(c) for c in ["head", *once]], "base",
+    ).withColumn("tag", M.tag_name(F.col("tok")))
     rows = rows.withColumn("kind", _token_kind(F.col("tok"), F.col("tag")))
-    has_attrs = F.col("kind").isin("open", "void") & F.col("tok").rlike(r"^<\S+\s")
-    return rows.withColumn("attrs", F.when(has_attrs, M.attributes(F.col("tok"))))
-
-
-def balance(rows: DataFrame, by=PAGE) -> DataFrame:
+    if lazy:
+        rows = rows.withColumn("tok", F.when(
+            F.col("tag").isin("img", "picture"), show_lazy(F.col("tok"))).otherwise(F.col("tok")))
+    start, tag = F.col("kind").isin("open", "void"), F.col("tag")
+    with_src = tag.isin("img", "iframe")
+    given = F.when(start & (tag == "a") & M.has_attr("href"), M.own("href")).when(
+        start & with_src & (M.own("src") != ""), M.own("src"))
+    titled = F.when(start & (tag.isin("a") | with_src), F.nullif(M.own("title"), F.lit("")))
+    label = F.when(start & (tag == "img"), F.nullif(M.own("alt"), F.lit("")))
+    rows = rows.withColumns({"url": given, "label": label, "hint": titled})
+    return rows.withColumns({
+        "url": U.absolutize(X.decode_entities(F.col("url")), F.col("base")),
+        "label": X.decode_entities(F.col("label")),
+        "hint": X.decode_entities(F.col("hint")),
+    }).drop("base")
+
+
+HEAD = "struct<url:string,title:string,html_tok:string>"
+
+
+def show_lazy(tok: Column) -> Column:
+    """The image that a lazily loaded element will show becomes its ``src``."""
+    src, cls = M.own("src", tok), F.lower(M.own("class", tok))
+    found = F.regexp_extract(
+        F.regexp_replace(tok, r"""(?i)\s(src|alt)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", ""),
+        r"""(?i)=\s*["']?\s*([^\s"'>]+\.(?:jpg|jpeg|png|webp)[^\s"',>]*)\s*["'\s>]""", 1)
+    placeholder = src.rlike(C.BASE64_URL) & ~src.rlike("(?i)^data:\\s*image/svg") & (
+        F.length(F.regexp_replace(src, C.BASE64_URL, "")) < 133)
+    hidden = (src == "") | cls.contains("lazy") | placeholder
+    rest = F.regexp_replace(tok, r"""(?i)^<(\w+)|\ssrc\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", "")
+    shown = F.concat(F.lit("<"), F.regexp_extract(tok, r"^<(\w+)", 1), F.lit(' src="'), found,
+                     F.lit('"'), rest)
+    return F.when(hidden & (found != ""), shown).otherwise(tok)
+
+
+def balance(rows: DataFrame, by=PAGE, extra=()) -> DataFrame:
     """Give every open element exactly one close, by windows only.
 
     * the body of the page becomes one element around all rows, open or not in the source;
@@ -187,7 +227,7 @@ def balance(rows: DataFrame, by=PAGE) -> DataFrame:
     * ``p``, list items and table cells end where the next block or item starts;
     * other unclosed blocks end with their parent, inline elements with their block.
 
-    Result: ``by…, ord, kind, tag, tok, attrs, head`` with kinds open, close, void, text and raw.
+    Result: ``by…, ord``, ``FIELDS`` and ``head`` with kinds open, close, void, text and raw.
     """
     pos, tag, kind = F.col("pos"), F.col("tag"), F.col("kind")
     run = running(by, "pos")
@@ -278,25 +318,22 @@ def balance(rows: DataFrame, by=PAGE) -> DataFrame:
     df = df.withColumn("paired", paired).withColumn("implied", implied)
 
     # 4. put the missing closes in
-    def row(at, sub, kind_, tag_, tok_, attrs_, head_):
+    once = [c for c in df.columns if c in ("head", *extra)]
+
+    def row(at, sub, **new):
+        fields = [*FIELDS, *once]
         return F.struct(
-            at.cast("long").alias("at"), sub.cast("long").alias("sub"), kind_.alias("kind"),
-            tag_.alias("tag"), tok_.alias("tok"), attrs_.alias("attrs"), head_.alias("head"),
+            at.cast("long").alias("at"), sub.cast("long").alias("sub"),
+            *[new.get(c, F.lit(None)).cast("string").alias(c) for c in fields],
         )
 
-    nothing = F.lit(None)
-    no_attrs = F.when(F.lit(False), F.col("attrs"))
-    no_head = F.when(F.lit(False), F.col("head"))
     body = F.array(
-        row(F.lit(-1), F.lit(0), F.lit("open"), F.lit("body"), F.col("head.body_tok"),
-            F.col("head.body_attrs"), F.col("head")),
-        row(F.lit(END), F.lit(2), F.lit("close"), F.lit("body"), nothing.cast("string"), no_attrs,
-            no_head),
-    )
-    itself = F.array(row(pos, F.lit(1), kind, tag, F.col("tok"), F.col("attrs"), no_head))
-    missing = F.array(
-        row(F.col("implied"), -pos - 1, F.lit("close"), tag, nothing.cast("string"), no_attrs, no_head)
+        row(F.lit(-1), F.lit(0), kind=F.lit("open"), tag=F.lit("body"), tok=F.col("body_tok"),
+            **{c: F.col(c) for c in once}),
+        row(F.lit(END), F.lit(2), kind=F.lit("close"), tag=F.lit("body")),
     )
+    itself = F.array(row(pos, F.lit(1), **{c: F.col(c) for c in FIELDS}))
+    missing = F.array(row(F.col("implied"), -pos - 1, kind=F.lit("close"), tag=tag))
     none = F.slice(itself, 1, 0)
     kept = kind.isin("open", "void", "text", "raw") | ((kind == "close") & F.col("paired"))
     df = df.select(
@@ -308,8 +345,9 @@ def balance(rows: DataFrame, by=PAGE) -> DataFrame:
         )).alias("r"),
     ).select(*by, "r.*")
     df = df.withColumn("ord", F.row_number().over(win(by, "at", "sub")))
-    return df.select(*by, "ord", "kind", "tag", "tok", "attrs", "head")
+    return df.select(*by, "ord", *FIELDS, *once)
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    return balance(page_stream(pages))
+def page_nodes(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = None,
+               spread_out: bool = True, lazy: bool = False) -> DataFrame:
+    return balance(page_stream(pages, by, extra, spread_out, lazy), by, tuple(extra or ()))
