@@ -31,7 +31,7 @@ def catalog_pages(spark, sf) -> DataFrame:
 
 
 CATALOG_SQL = r"""
-  WITH s AS (SELECT s_suppkey AS k, replace(s_name, '#', '#') AS s, n_name AS n, r_name AS r
+  WITH s AS (SELECT s_suppkey AS k, s_name AS s, n_name AS code, replace(n_name, '_', '\_') AS n, replace(r_name, '_', '\_') AS r
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   e AS (SELECT *, length(k || '.  ') AS w1, length((k + 1) || '.  ') AS w2, length((k + 2) || '.  ') AS w3 FROM s)
   SELECT CAST(k AS BIGINT) AS page_id, replace(
@@ -41,8 +41,8 @@ CATALOG_SQL = r"""
     || '~' || (k + 2) || '.  para~' || repeat(' ', w3)
     || '~~> ' || n || '~> ~> > in ' || r
     || '~~```sql~SELECT ' || k || '~  FROM t~```'
-    || '~~Use ``' || n || '`x`` and *' || r || '* or ***both***'
-    || '~~---~~![' || n || '](https://www.example.com/a/b/img/' || k || '.png "pic")[go (' || r
+    || '~~Use ``' || code || '`x`` and *' || r || '* or ***both***'
+    || '~~---~~![' || code || '](https://www.example.com/a/b/img/' || k || '.png "pic")[go (' || r
     || ')](https://www.example.com/a/up?k=' || k || '#f "t")', '~', chr(10)) AS markdown
   FROM e
 """
@@ -78,3 +78,93 @@ METADATA_SQL = """
     CASE s_suppkey % 3 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' END AS published_time
   FROM supplier
 """
+
+
+_PROSE = (
+    "The works of {n} lie in a valley, near a river, and have done so for many years now. "
+    "People who live there know each bend of it, each weir, each mill, and each of the old bridges. "
+    "What they make is sold far away, in towns that none of them will ever see, part {i}."
+)
+
+
+def story_pages(spark, sf) -> DataFrame:
+    """One article per supplier among everything that an extraction must leave out."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    p = ["<p>" + _PROSE.format(n="%1$s", i=i) + "</p>" for i in (1, 2, 3)]
+    body = (
+        "<div class=\"sidebar-box\">Side, side, side text that goes on for a while.</div>"
+        "<div style=\"display: none\">Never seen, this one is.</div>"
+        "<div role=\"dialog\" aria-modal=\"true\">Accept all, please.</div>"
+        "<div role=\"navigation\">Go here, go there.</div>"
+        "<main class=\"story\"><h1>A tale of %1$s told at length</h1><p class=\"byline\">By Writer %2$s</p>"
+        + p[0] + "<div>Short words of <b>%2$s</b> in a div.</div>" + p[1]
+        + "<div class=\"share\">Share this, friends.</div>"
+        "<form><p>Join, please.</p><input><input></form>"
+        "<h2 class=\"promo\">Buy now</h2><aside>Beside, aside.</aside><button>Push</button>"
+        "<ul><li><a href=\"/l/%2$s\">link %2$s</a></li><li>two</li></ul>"
+        "<table><tr><td>Alone in %2$s.</td></tr></table>"
+        "<table><thead><tr><th>K</th><th>V</th></tr></thead><tbody><tr><td>a</td><td>%2$s</td></tr></tbody></table>"
+        "<p></p><p><a href=\"javascript:go()\">Plain %2$s</a></p>"
+        "<p><img class=\"lazy\" data-src=\"/pic/%2$s.jpg\" alt=\"Pic\"></p>" + p[2]
+        + "<div>one line<br><br>next line</div><footer>Foot, foot.</footer></main>"
+    )
+    html = F.format_string(
+        "<html><head><title>A tale of %1$s told at length</title></head><body>" + body + "</body></html>",
+        F.col("s_name"), F.col("s_suppkey").cast("string"))
+    return s.select(F.col("s_suppkey").cast("bigint").alias("page_id"),
+                    F.lit("https://www.example.com/tales/x").alias("url"), html.alias("html"))
+
+
+def _prose_sql(i: int) -> str:
+    return "'" + _PROSE.format(n="' || s || '", i=i) + "'"
+
+
+STORY_SQL = f"""
+  SELECT CAST(k AS BIGINT) AS page_id, replace(
+    '# A tale of ' || s || ' told at length~~' || {_prose_sql(1)}
+    || '~~Short words of **' || k || '** in a div.~~' || {_prose_sql(2)}
+    || '~~-   [link ' || k || '](https://www.example.com/l/' || k || ')~-   two'
+    || '~~Alone in ' || k || '.~~| K | V |~| --- | --- |~| a | ' || k || ' |'
+    || '~~Plain ' || k || '~~![Pic](https://www.example.com/pic/' || k || '.jpg)~~' || {_prose_sql(3)}
+    || '~~one line~~next line~~By Writer ' || k || ' / www.example.com /  / ' || {_prose_sql(1)}, '~', chr(10)) AS markdown
+  FROM (SELECT s_suppkey AS k, s_name AS s FROM supplier)
+"""
+
+
+def framed_pages(spark, sf) -> DataFrame:
+    """A page per nation with four frames, and a page per region that one of them shows."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    r = spark.read.parquet(f"{sf}/region.parquet")
+    text = "a text about the region that is long enough to be put into the page"
+    inner = F.format_string(
+        "<html><head><title>x</title></head><body><script>no()</script><p>%s is " + text + "</p></body></html>", "r_name")
+    docs = r.select((F.col("r_regionkey") + 1000).cast("bigint").alias("page_id"),
+                    F.concat(F.lit("https://www.example.com/region/"), "r_regionkey").alias("url"), inner.alias("html"))
+    html = F.format_string(
+        "<html><head><title>Nation %1$s</title></head><body><p>Before</p>"
+        "<iframe src=\"/region/%2$s\"></iframe>"
+        "<iframe srcdoc=\"&lt;p&gt;Inside %1$s there is a text that is long enough to be kept.&lt;/p&gt;\"></iframe>"
+        "<iframe src=\"https://maps.example.org/%1$s\" title=\"Map %1$s\"></iframe>"
+        "<iframe srcdoc=\"too short\"></iframe><p>After</p></body></html>",
+        F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"))
+    pages = n.select(F.col("n_nationkey").cast("bigint").alias("page_id"),
+                     F.concat(F.lit("https://www.example.com/nation/"), "n_nationkey").alias("url"), html.alias("html"))
+    return pages.unionByName(docs)
+
+
+FRAMES_SQL = """
+  SELECT CAST(n_nationkey AS BIGINT) AS page_id, replace('# Nation ' || n_nationkey || '~~Before~~' || replace(r_name, '_', '\_')
+    || ' is a text about the region that is long enough to be put into the page~~Inside ' || n_nationkey
+    || ' there is a text that is long enough to be kept.~~\\[Embedded content: [Map ' || n_nationkey
+    || '](https://maps.example.org/' || n_nationkey || ')\\]~~'
+    || '\\[Embedded content: too short\\]~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
+    || 'accessed due to browser security policies. Some content may be missing. Links to these iframes have been preserved '
+    || 'where possible.', '~', chr(10)) AS markdown
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+"""
+
+WARNINGS_SQL = """
+  SELECT CAST(n_nationkey AS BIGINT) AS page_id, 'crossOriginIframe' AS type, 1 AS "count",
+    '[{"src":"https://maps.example.org/' || n_nationkey || '","title":"Map ' || n_nationkey || '"}]' AS details
+  FROM nation
+"""

@@ -15,14 +15,16 @@ from webquarry.operators import metadata as D
 from webquarry.operators import nodes as N
 from webquarry.operators import tokens as T
 from webquarry.operators.blocks import text_blocks
-from webquarry.operators.budget import token_columns
+from webquarry.operators.budget import token_columns, token_count_vocab
+from webquarry.operators.frames import frame_docs, iframe_warnings
 from webquarry.operators.score import rank_candidates, score_candidates, with_features
 from webquarry.options import Options
 from webquarry.plans import catalog
-from webquarry.plans.article import article_markdown, cut
-from webquarry.plans.convert import flag_lazy
+from webquarry.plans.article import article_markdown, cut, work_folder
+from webquarry.plans.convert import convert_with_frames, flag_lazy
 from webquarry.plans.full_page import full_page_markdown
 from webquarry.sources.pages import read_pages, select_batch
+from webquarry.streaming.convert import count_stream, read_page_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -115,20 +117,13 @@ _PARTS = f"""
 """
 
 
-def _page_markdown(with_heading: bool) -> str:
-    heading = f"coalesce({_GAP} || '# ' || {_escaped('h1')}, '')" if with_heading else "''"
-    return (
-        f"'# ' || title || {_GAP} || {_escaped('ad')} || {heading} || coalesce({_GAP} || md, '') "
-        f"|| {_GAP} || '---' || {_NL} || 'Source: [' || title || '](' || url || ')'"
-    )
-
-
-def _page_result(with_heading: bool) -> str:
-    return f"""
-      SELECT page_id, url, title, true AS success, md AS markdown, {_estimate('md')} AS token_count
-      FROM (SELECT page.page_id, url, title, {_page_markdown(with_heading)} AS md
-            FROM page LEFT JOIN body USING (page_id))
-    """
+_FULL_PAGE = f"""
+  SELECT page_id, url, title, true AS success, md AS markdown, {_estimate('md')} AS token_count
+  FROM (SELECT page.page_id, url, title, '# ' || title || {_GAP} || {_escaped('ad')} || {_GAP} || '# '
+          || {_escaped('h1')} || coalesce({_GAP} || md, '') || {_GAP} || '---' || {_NL}
+          || 'Source: [' || title || '](' || url || ')' AS md
+        FROM page LEFT JOIN body USING (page_id))
+"""
 
 
 _RESULT = ["page_id", "url", "title", "success", "markdown", "token_count"]
@@ -225,7 +220,7 @@ def page_links(spark, sf):
 # ---------------------------------------------------------------- titles and addresses
 
 
-@query(f"""
+_PAGE_TITLES = f"""
   WITH t AS (SELECT page_id, {_TITLE} AS t,
     trim(regexp_replace({_decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\\s{{2,}}', ' ', 'g')) AS h1 FROM pages),
   u AS (SELECT page_id, t, h1, CASE
@@ -241,7 +236,10 @@ def page_links(spark, sf):
   SELECT page_id, CASE WHEN len(regexp_split_to_array(c, '\\s+')) <= 4 AND (NOT h OR len(regexp_split_to_array(c, '\\s+'))
      <> len(regexp_split_to_array(regexp_replace(t, '[|\\-\\\\/>»]+', '', 'g'), '\\s+')) - 1) THEN t ELSE c END AS title
   FROM v
-""")
+"""
+
+
+@query(_PAGE_TITLES)
 def page_titles(spark, sf):
     return pages(spark, sf).select("page_id", D.page_article_title(F.col("html")).alias("title"))
 
@@ -394,7 +392,7 @@ def paragraph_scores(spark, sf):
 
 
 @query(f"""
-  WITH {_PARTS}, r AS ({_page_result(True)})
+  WITH {_PARTS}, r AS ({_FULL_PAGE})
   SELECT page_id, url, markdown, token_count, {_STATUS.format(c='token_count', l='8192')} AS status FROM r
 """)
 def full_page(spark, sf):
@@ -403,7 +401,35 @@ def full_page(spark, sf):
                     X.budget_status(F.col("token_count"))["status"].alias("status"))
 
 
-@query(f"WITH {_PARTS} {_page_result(False)}")
+_SPLIT_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-zA-Z0-9_]+'), lambda x: x <> '')"
+
+
+# the ad stays when the whole body is taken, else when it is long or ends a sentence; the heading
+# stays, one level down, when it does not repeat the title
+@query(f"""
+  WITH {_PARTS},
+  names AS ({_PAGE_TITLES}),
+  points AS (SELECT page_id, sum(CASE WHEN length(txt) >= 25 THEN 2 + length(txt) - length(replace(txt, ',', ''))
+      + least(length(txt) // 100, 3) ELSE 0 END) AS pts, sum(length(txt)) AS chars FROM parts GROUP BY page_id),
+  words AS (SELECT page.*, names.title AS name, coalesce(pts, 0) AS pts, coalesce(chars, 0) AS chars,
+      {_SPLIT_WORDS.format(c='names.title')} AS wa, {_SPLIT_WORDS.format(c='h1')} AS wb,
+      CASE WHEN length(ad) >= 25 THEN 2 + length(ad) - length(replace(ad, ',', '')) + least(length(ad) // 100, 3)
+        ELSE 0 END AS ad_pts,
+      length(array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), '')) AS nav_chars,
+      length({_flat(_decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"))}) AS foot_chars
+    FROM page JOIN names USING (page_id) LEFT JOIN points USING (page_id)),
+  alike AS (SELECT *, len(wa) > 0 AND len(wb) > 0 AND 1 - CAST(length(array_to_string(list_filter(wb,
+      lambda x: NOT list_contains(wa, x)), ' ')) AS DOUBLE) / length(array_to_string(wb, ' ')) > 0.75 AS same FROM words),
+  chosen AS (SELECT *, (pts = 0 OR (pts / 2.0 + ad_pts) * (1 - nav_chars::DOUBLE / (nav_chars + length(ad) + foot_chars + chars
+      + CASE WHEN same THEN 0 ELSE length(h1) END)) >= pts) AS whole FROM alike),
+  done AS (SELECT chosen.page_id, url, title, '# ' || title || {_GAP} || regexp_replace(
+      CASE WHEN whole OR length(ad) > 80 OR (length(ad) < 80 AND regexp_matches(ad, '[.]( |$)'))
+        THEN {_escaped('ad')} || {_GAP} ELSE '' END
+      || CASE WHEN same THEN '' ELSE '## ' || {_escaped('h1')} || {_GAP} END || coalesce(md, ''), '\n+$', '')
+      || {_GAP} || '---' || {_NL} || 'Source: [' || name || '](' || url || ')' AS md
+    FROM chosen LEFT JOIN body USING (page_id))
+  SELECT page_id, url, title, true AS success, md AS markdown, {_estimate('md')} AS token_count FROM done
+""")
 def article(spark, sf):
     return article_markdown(pages(spark, sf)).select(*_RESULT)
 
@@ -458,7 +484,7 @@ def results_summary(spark, sf):
 
 
 @query(f"""
-  WITH {_PARTS}, r AS ({_page_result(True)}),
+  WITH {_PARTS}, r AS ({_FULL_PAGE}),
   x AS (SELECT {_estimate('html')} AS h, token_count AS m FROM r JOIN pages USING (page_id)),
   y AS (SELECT h, m, h * 1000 // m AS q, row_number() OVER (ORDER BY h * 1000 // m) AS i, count(*) OVER () AS n FROM x)
   SELECT count(*) AS n_pages, CAST(sum(h) AS BIGINT) AS html_tokens, CAST(sum(m) AS BIGINT) AS markdown_tokens,
@@ -485,3 +511,86 @@ def supplier_metadata(spark, sf):
     m = D.metadata_table(p)
     keys = ["title", "byline", "excerpt", "site_name", "published_time"]
     return m.select("page_id", *keys)
+
+
+@query(catalog.STORY_SQL)
+def supplier_articles(spark, sf):
+    opt = Options(footer="{author} / {siteName} / {date} / {excerpt}")
+    r = article_markdown(catalog.story_pages(spark, sf), opt)
+    return r.select("page_id", "markdown")
+
+
+@query(catalog.FRAMES_SQL)
+def framed_pages(spark, sf):
+    r = convert_with_frames(catalog.framed_pages(spark, sf), Options(scope="fullPage", metadata=False))
+    return r.filter("url LIKE '%/nation/%'").select("page_id", "markdown")
+
+
+@query(catalog.WARNINGS_SQL)
+def frame_warnings(spark, sf):
+    w = iframe_warnings(frame_docs(catalog.framed_pages(spark, sf)))
+    return w.select("page_id", "type", "count", F.to_json("details").alias("details"))
+
+
+@query(f"""
+  SELECT p.page_id, {_TITLE} AS title FROM pages p
+  WHERE {_TITLE} = trim({_decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")})
+""")
+def titles_in_headings(spark, sf):
+    html = F.col("html")
+    t = pages(spark, sf).select("page_id", D.document_title(html).alias("title"))
+    h = pages(spark, sf).select("page_id", F.explode(D.heading_texts(html)).alias("heading"))
+    return t.join(h.select("page_id", X.trim_ws(F.col("heading")).alias("title")), ["page_id", "title"], "left_semi")
+
+
+@query("""
+  SELECT depth, ancestor, count(*) AS n FROM (
+    SELECT k AS depth, a AS ancestor, unnest(regexp_extract_all(html, '<li>')) AS li
+    FROM pages JOIN (VALUES (1, 'ul'), (2, 'nav'), (3, 'body')) v(k, a) ON true) GROUP BY ALL
+""")
+def list_ancestors(spark, sf):
+    a = N.ancestors(T.page_nodes(pages(spark, sf)), 3)
+    return a.filter("tag = 'li'").groupBy("depth", "ancestor").agg(F.count("*").alias("n"))
+
+
+@query()
+def vocabulary_counts(spark, sf):
+    """Counts by a vocabulary of the words and word pairs of the benchmark texts."""
+    words = F.split(F.lower("text"), "[^a-z]+")
+    pieces = F.concat(words, F.transform(words, lambda w: F.concat(F.lit(" "), w)))
+    raw = table(spark, sf, "benchmark").select(F.explode(pieces).alias("w")).filter(
+        "length(trim(w)) BETWEEN 1 AND 12").distinct()
+    vocab = raw.select(
+        F.lit("words").alias("encoding"), F.hex(F.encode("w", "UTF-8")).alias("bytes"),
+        F.octet_length("w").alias("n_bytes"), F.octet_length("w").cast("bigint").alias("rank"))
+    return token_count_vocab(table(spark, sf, "conversations").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("id"), "text"), vocab, "id", "text", "words")
+
+
+@query(f"""
+  SELECT CAST(page_id AS BIGINT) AS page_id, {_estimate('html')} AS token_count,
+    {_STATUS.format(c=_estimate('html'), l='4096')} AS status FROM pages
+""")
+def streamed_counts(spark, sf):
+    """The pages as a stream: counted by a stateless query, read back from its sink."""
+    folder = work_folder(spark)
+    stream = read_page_stream(spark, sf, "pages.parquet")
+    count_stream(stream, "html", f"{folder}/out", f"{folder}/state", 4096).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("page_id", "token_count", "budget.status")
+
+
+@query(f"""
+  WITH e AS (SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM pages)
+  SELECT page_id, CASE WHEN n > 40 THEN 'Aborting parsing document; ' || n || ' elements found' END AS error FROM e
+""")
+def size_guard(spark, sf):
+    return T.guard_max_elements(pages(spark, sf), 40).select("page_id", "error")
+
+
+@query(f"""
+  SELECT count(*) AS n_files, 'export-2026-01-31-' || count(*) || 'tabs' AS export_name, CAST(NULL AS VARCHAR) AS error
+  FROM conversations WHERE length(text) >= 200
+""")
+def export_names(spark, sf):
+    c = table(spark, sf, "conversations").select((F.length("text") >= 200).alias("success"))
+    return B.export_manifest(c, "2026-01-31")
