@@ -123,7 +123,7 @@ STORY_SQL = f"""
   SELECT CAST(k AS BIGINT) AS page_id, replace(
     '# A tale of ' || s || ' told at length~~' || {_prose_sql(1)}
     || '~~Short words of **' || k || '** in a div.~~' || {_prose_sql(2)}
-    || '~~-   [link ' || k || '](https://www.example.com/l/' || k || ')~-   two'
+    || '~~Share this, friends.~~-   [link ' || k || '](https://www.example.com/l/' || k || ')~-   two'
     || '~~Alone in ' || k || '.~~| K | V |~| --- | --- |~| a | ' || k || ' |'
     || '~~Plain ' || k || '~~![Pic](https://www.example.com/pic/' || k || '.jpg)~~' || {_prose_sql(3)}
     || '~~one line~~next line~~By Writer ' || k || ' / www.example.com /  / ' || {_prose_sql(1)}, '~', chr(10)) AS markdown
@@ -152,12 +152,12 @@ def framed_pages(spark, sf) -> DataFrame:
     return pages.unionByName(docs)
 
 
-FRAMES_SQL = """
+FRAMES_SQL = r"""
   SELECT CAST(n_nationkey AS BIGINT) AS page_id, replace('# Nation ' || n_nationkey || '~~Before~~' || replace(r_name, '_', '\_')
     || ' is a text about the region that is long enough to be put into the page~~Inside ' || n_nationkey
-    || ' there is a text that is long enough to be kept.~~\\[Embedded content: [Map ' || n_nationkey
-    || '](https://maps.example.org/' || n_nationkey || ')\\]~~'
-    || '\\[Embedded content: too short\\]~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
+    || ' there is a text that is long enough to be kept.~~\[Embedded content: [Map ' || n_nationkey
+    || '](https://maps.example.org/' || n_nationkey || ')\]~~'
+    || '\[Embedded content: Embedded content\]~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
     || 'accessed due to browser security policies. Some content may be missing. Links to these iframes have been preserved '
     || 'where possible.', '~', chr(10)) AS markdown
   FROM nation JOIN region ON n_regionkey = r_regionkey

@@ -555,7 +555,7 @@ def list_ancestors(spark, sf):
 
 @query()
 def vocabulary_counts(spark, sf):
-    """Counts by a vocabulary of the words and word pairs of the benchmark texts."""
+    """Counts by a vocabulary made of the words of the texts, with and without a space."""
     words = F.split(F.lower("text"), "[^a-z]+")
     pieces = F.concat(words, F.transform(words, lambda w: F.concat(F.lit(" "), w)))
     raw = table(spark, sf, "benchmark").select(F.explode(pieces).alias("w")).filter(
@@ -563,8 +563,7 @@ def vocabulary_counts(spark, sf):
     vocab = raw.select(
         F.lit("words").alias("encoding"), F.hex(F.encode("w", "UTF-8")).alias("bytes"),
         F.octet_length("w").alias("n_bytes"), F.octet_length("w").cast("bigint").alias("rank"))
-    return token_count_vocab(table(spark, sf, "conversations").select(
-        F.concat("conv_id", F.lit("-"), "turn").alias("id"), "text"), vocab, "id", "text", "words")
+    return token_count_vocab(table(spark, sf, "benchmark"), vocab, "item_id", "text", "words")
 
 
 @query(f"""
