@@ -134,7 +134,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_metadata_cases(spark):
     cases = {
-        '<title>A page with words | Site</title>': ("A page with words", None),
+        '<title>A page with many words | Site</title>': ("A page with many words", None),
         '<title>Short | Site name here</title>': ("Short | Site name here", None),
         '<title>x</title><meta property="article:author" content="https://a.b/c">': ("x", None),
         '<title>x</title><meta property="article:author" content="Jo">': ("x", "Jo"),

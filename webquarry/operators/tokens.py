@@ -130,13 +130,13 @@ _OUTSIDE = r"(?i)^(<!|<\?|</[^a-zA-Z]|</?(html|head|body)\b)"
 
 
 def spread(pages: DataFrame, by=PAGE) -> DataFrame:
-    """Spread the pages by key, into a fixed number of partitions.
+    """Spread the pages by key, before anything is exploded.
 
-    The explode multiplies the rows after this exchange, so they must not be merged by the
-    size of the raw pages.
+    Without a number of partitions, so that adaptive execution sizes them: a few for a small
+    table, ``spark.sql.shuffle.partitions`` of them (each up to the advisory size) for a large
+    one. Pages that are bucketed by the key already need no exchange at all.
     """
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(parts, *by)
+    return pages.repartition(*by)
 
 
 # what a row of the stream carries besides its place
