@@ -119,11 +119,12 @@ def _prose_sql(i: int) -> str:
     return "'" + _PROSE.format(n="' || s || '", i=i) + "'"
 
 
+# the blank line between the two items is a rule of the post-processing
 STORY_SQL = f"""
   SELECT CAST(k AS BIGINT) AS page_id, replace(
     '# A tale of ' || s || ' told at length~~' || {_prose_sql(1)}
     || '~~Short words of **' || k || '** in a div.~~' || {_prose_sql(2)}
-    || '~~Share this, friends.~~-   [link ' || k || '](https://www.example.com/l/' || k || ')~-   two'
+    || '~~Share this, friends.~~-   [link ' || k || '](https://www.example.com/l/' || k || ')~~-   two'
     || '~~Alone in ' || k || '.~~| K | V |~| --- | --- |~| a | ' || k || ' |'
     || '~~Plain ' || k || '~~![Pic](https://www.example.com/pic/' || k || '.jpg)~~' || {_prose_sql(3)}
     || '~~one line~~next line~~By Writer ' || k || ' / www.example.com /  / ' || {_prose_sql(1)}, '~', chr(10)) AS markdown
