@@ -9,7 +9,7 @@ from webquarry.operators import batch as B
 from webquarry.operators.budget import token_count_vocab
 from webquarry.operators.metadata import metadata_table
 from webquarry.options import Options
-from webquarry.plans.convert import convert
+from webquarry.plans.convert import convert, convert_with_frames
 from webquarry.sources import sinks
 from webquarry.sources.pages import read_html_files, read_vocab, vocab_table
 from webquarry.streaming.convert import convert_stream, read_page_stream
@@ -27,7 +27,7 @@ def names_one_by_one(titles):
 
 
 def test_unique_names(spark):
-    titles = ["x", "x", "x", "y_1", "y", "y", "y", "z", "z", "z_1", "w", "w_2", "w", "w", "w"]
+    titles = ["p_1", "p_3", "p", "p", "p", "q", "q", "q_1", "q_1", "q_1_1", "x", "x", "x", "y_1", "y", "y", "y", "z", "z", "z_1", "w", "w_2", "w", "w", "w"]
     df = spark.createDataFrame(list(enumerate(titles)), "page_id bigint, title string")
     got = [r.file_name for r in B.unique_names(df, step=3).orderBy("page_id").collect()]
     assert got == names_one_by_one(titles)
@@ -147,3 +147,23 @@ def test_metadata_cases(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = [(r.title, r.byline) for r in metadata_table(df).orderBy("page_id").collect()]
     assert got == list(cases.values())
+
+
+def test_frames_at_the_end_of_an_article(spark):
+    text = "A paragraph, long enough to count as one, about nothing in particular. " * 9
+    doc = f"<html><head><title>Page of frames</title></head><body><article><p>{text}</p></article>"
+    doc += '<iframe src="/in"></iframe><iframe src="https://far.org/x"></iframe></body></html>'
+    inner = "<html><body><p>" + "inside the frame " * 6 + "</p></body></html>"
+    pages = spark.createDataFrame([(1, "https://e.com/a", doc), (2, "https://e.com/in", inner)],
+                                  "page_id bigint, url string, html string")
+    got = {r.page_id: r.markdown for r in convert_with_frames(pages, Options(metadata=False)).collect()}
+    end = "\n\n---\n\n### Embedded Content 1\n\n" + ("inside the frame " * 6).strip()
+    assert got[1].startswith("# Page of frames\n\n" + text.strip() + end + "\n\n---\n> **Note:** This page contains 1 ")
+
+
+def test_reopened_inline(spark):
+    html = "<html><body><p><b>x<br><p>y <i>z</i><ul><li>w</ul><div><b>v</div><p>u</body></html>"
+    pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id bigint, url string, html string")
+    opt = Options(scope="fullPage", title=False, metadata=False, reopen_inline=True)
+    got = convert(pages, opt).first().markdown
+    assert got == "**x  \n**\n\n**y *z***\n\n-   **w**\n\n****v****\n\n****u****"

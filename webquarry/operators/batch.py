@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webquarry.functions import constants as C
 from webquarry.functions import text as X
+from webquarry.operators.lineage import cut
 
 
 def ranked(df: DataFrame, key: str, order: str, step: int = 10_000, name: str = "rank") -> DataFrame:
@@ -32,33 +33,52 @@ def unique_names(df: DataFrame, title: str = "title", order: str = "page_id",
                  step: int = 10_000) -> DataFrame:
     """``file_name``: the sanitised title, with ``_1``, ``_2`` … from its second use on.
 
-    A number whose name is the title of a row that comes first in the table is skipped; a row
-    that finds its plain name taken by a number counts on from its own name. Both only concern
-    titles that end in a number, so they are settled in a second pass over those.
+    A number is skipped when its name is the title of an earlier row; a row whose plain name a
+    number took before counts on from its own name. Only titles that end in a number and whose
+    stem is used twice can clash, so each pass over those is small: it settles the smallest
+    clash of every name, and passes go on until there is none.
     """
-    df = df.withColumn("base", X.sanitize_filename(F.col(title)))
-    df = ranked(df, "base", order, step, "use")
-    stem = F.regexp_extract("base", r"^(.*)_[0-9]+$", 1)
-    digits = F.regexp_extract("base", r"_([0-9]+)$", 1)
-    number = F.when(digits.rlike("^[1-9]"), digits.try_cast("bigint"))
-    # first uses of a name that some other title could get by its number
-    rivals = df.filter((F.col("use") == 0) & number.isNotNull()).select(
-        stem.alias("base"), number.alias("n"), F.col(order).alias("_at"))
-    uses = df.filter("use > 0").select("base", F.col("use").alias("n"), F.col(order).alias("_used"))
-    # only numbers that are reached can clash
-    clash = rivals.join(uses, ["base", "n"])
-    skipped = clash.filter("_at < _used").select("base", "n")
-    late = clash.filter("_at > _used").select(
-        F.concat("base", F.lit("_"), F.col("n").cast("string")).alias("base"), F.lit(1).alias("_late"))
-    skips = skipped.groupBy("base").agg(F.sort_array(F.collect_list("n")).alias("_skips"))
-    df = df.join(skips, "base", "left").join(late.distinct(), "base", "left")
-    used = F.aggregate(
-        F.coalesce("_skips", F.array().cast("array<bigint>")), F.col("use").cast("bigint"),
-        lambda n, s: F.when(s <= n, n + 1).otherwise(n))
-    n = F.when(F.col("use") == 0, F.lit(0).cast("bigint")).otherwise(used) + F.coalesce("_late", F.lit(0))
+    names = cut(df.select(order, X.sanitize_filename(F.col(title)).alias("base")))
+    uses = ranked(names, "base", order, step, "use")
+    digits = F.regexp_extract("base", r"_([1-9][0-9]*)$", 1)
+    rivals = uses.filter((F.col("use") == 0) & (digits != "")).select(
+        F.regexp_extract("base", r"^(.*)_[0-9]+$", 1).alias("stem"), digits.try_cast("bigint").alias("n"),
+        F.col("base").alias("rival"), F.col(order).alias("_at"))
+    twice = uses.filter("use = 1").select(F.col("base").alias("stem"))
+    rivals = rivals.join(twice, "stem", "left_semi")
+    none = F.array().cast("array<bigint>")
+    uses = uses.withColumns({"skips": none, "late": F.lit(0)})
+    if not rivals.isEmpty():
+        while True:
+            numbered = _numbered(uses)
+            clash = rivals.join(
+                numbered.filter("number > 0").select(
+                    F.col("base").alias("stem"), F.col("number").alias("n"), F.col(order).alias("_used")),
+                ["stem", "n"])
+            skip = clash.filter("_at < _used").groupBy(F.col("stem").alias("base")).agg(
+                F.min("n").alias("new_skip"))
+            late = clash.filter("_at > _used").select(F.col("rival").alias("base"), F.lit(1).alias("new_late"))
+            step_ = uses.join(skip, "base", "left").join(late.distinct(), "base", "left")
+            changed = F.col("new_skip").isNotNull() | (F.coalesce("new_late", F.lit(0)) != F.col("late"))
+            after = cut(step_.select(
+                order, "base", "use",
+                F.when(F.col("new_skip").isNull(), F.col("skips")).otherwise(
+                    F.array_sort(F.concat("skips", F.array("new_skip")))).alias("skips"),
+                F.coalesce("new_late", F.lit(0)).alias("late"), changed.alias("changed")))
+            uses = after.drop("changed")
+            if after.filter("changed").isEmpty():
+                break
+    n = F.col("number")
     name = F.concat("base", F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")),
                     F.lit(".md"))
-    return df.withColumn("file_name", name).drop("base", "use", "_skips", "_late")
+    return df.join(_numbered(uses).select(order, name.alias("file_name")), order)
+
+
+def _numbered(uses: DataFrame) -> DataFrame:
+    """``number`` of each use: its rank, moved past the skipped numbers."""
+    rank = (F.col("use") + F.col("late")).cast("bigint")
+    moved = F.aggregate("skips", rank, lambda n, s: F.when(s <= n, n + 1).otherwise(n))
+    return uses.withColumn("number", F.when(rank == 0, rank).otherwise(moved))
 
 
 def merge_markdown(results: DataFrame, group: str, order: str, text: str = "markdown",

@@ -48,8 +48,10 @@ def join_frames(frames: DataFrame, pages: DataFrame) -> DataFrame:
 
     The document of a frame is the page whose address is the frame's: an equality join.
     """
-    docs = pages.select(F.col("url").alias("src"), F.col("html").alias("doc")).dropDuplicates(["src"])
-    df = frames.join(docs, "src", "left")
+    docs = pages.groupBy(F.col("url").alias("_key")).agg(F.min_by("html", "page_id").alias("doc"))
+    # frames without an address get keys of their own, so that they do not meet in one task
+    key = F.coalesce("src", F.concat(F.lit("#"), "page_id", F.lit("-"), "frame"))
+    df = frames.withColumn("_key", key).join(docs, "_key", "left").drop("_key")
     same = U.origin(F.col("src")) == U.origin(F.col("page_url"))
     inner = F.when(~F.col("sandboxed"), F.coalesce(
         "srcdoc", F.when(same & F.col("doc").isNotNull(), F.col("doc"))))

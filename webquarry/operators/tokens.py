@@ -351,3 +351,48 @@ def balance(rows: DataFrame, by=PAGE, extra=()) -> DataFrame:
 def page_nodes(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = None,
                spread_out: bool = True, lazy: bool = False) -> DataFrame:
     return balance(page_stream(pages, by, extra, spread_out, lazy), by, tuple(extra or ()))
+
+
+_REOPENED = ["b", "strong", "i", "em"]
+
+
+def reopen_inline(df: DataFrame, by=PAGE) -> DataFrame:
+    """Open unclosed bold and italic elements again in every later block, as a browser does.
+
+    The closes that ``balance`` put in have no source. From each on, the inline content of a
+    block is wrapped once per unclosed element, three times at most for one tag.
+    """
+    run, element = running(by, "ord"), F.col("kind").isin("open", "close", "void")
+    edge = F.coalesce(element & F.col("tag").isin(C.ENDS_PARAGRAPH), F.lit(False))
+    words = (F.col("kind") == "text") & (X.trim_ws(F.col("tok")) != "")
+    content = F.coalesce(~edge & (words | (element & (F.col("tag") != "br"))), F.lit(False))
+    implied = (F.col("kind") == "close") & F.col("tok").isNull()
+    df = df.withColumns({"_edge": edge, "_content": content, "_tries": F.sum(edge.cast("int")).over(run)} | {
+        f"_n_{t}": F.sum((implied & (F.col("tag") == t)).cast("int")).over(run) for t in _REOPENED
+    })
+    df = df.withColumn("_run", F.when(F.col("_content"), F.col("_tries")))
+    df = df.withColumns({"_prev": before(F.col("_run"), by), "_later": after("_run", by)})
+    first = F.col("_content") & ~F.coalesce(F.col("_prev") == F.col("_tries"), F.lit(False))
+    last = F.col("_content") & ~F.coalesce(F.col("_later") == F.col("_tries"), F.lit(False))
+    df = df.withColumns({"_first": first, "_last": last}).withColumns({
+        f"_n_{t}": F.last(F.when(F.col("_first"), F.least(F.col(f"_n_{t}") - F.when(
+            implied & (F.col("tag") == t), 1).otherwise(0), F.lit(3))), ignorenulls=True).over(run)
+        for t in _REOPENED
+    })
+    fields = [c for c in df.columns if not c.startswith("_") and c not in by and c != "ord"]
+
+    def row(sub, **new):
+        return F.struct(F.col("ord").alias("at"), F.lit(sub).alias("sub"), *[
+            new.get(c, F.col(c) if not new else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in fields])
+
+    def marks(kind, tag, base):
+        made = F.array(*[row(base + i, kind=F.lit(kind), tag=F.lit(tag), tok=F.lit(f"<{tag}>")) for i in range(3)])
+        return F.slice(made, F.lit(1), F.coalesce(F.col(f"_n_{tag}"), F.lit(0)).cast("int"))
+
+    nothing = F.slice(F.array(row(0)), 1, 0)
+    opens = F.concat(*[marks("open", t, -30 + 3 * i) for i, t in enumerate(_REOPENED)])
+    closes = F.concat(*[marks("close", t, 30 - 3 * i) for i, t in enumerate(_REOPENED)])
+    rows = F.concat(F.when(F.col("_first"), opens).otherwise(nothing), F.array(row(0)),
+                    F.when(F.col("_last"), closes).otherwise(nothing))
+    df = df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    return df.withColumn("ord", F.row_number().over(win(by, "at", "sub"))).drop("at", "sub")

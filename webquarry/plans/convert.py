@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from webquarry.functions import text as X
 from webquarry.functions import urls as U
 from webquarry.operators.frames import frame_docs, place_frames
-from webquarry.operators.tokens import guard_max_elements
+from webquarry.operators.prune import clean
+from webquarry.operators.render import render
+from webquarry.operators.tokens import guard_max_elements, page_nodes
 from webquarry.options import Options
 from webquarry.plans.article import article_markdown
 from webquarry.plans.full_page import full_page_markdown
@@ -44,20 +46,18 @@ def convert(pages: DataFrame, opt: Options = Options(), fragments: DataFrame | N
 
 
 def convert_with_frames(pages: DataFrame, opt: Options = Options(scope="fullPage")) -> DataFrame:
-    """Convert whole pages with the documents of their frames put in.
+    """Convert pages with the documents of their frames: in place, or at the end of an article.
 
     Frames need a join of the pages with themselves by address, so this is a job of its own.
     """
     placed = place_frames(pages, frame_docs(pages), opt)
-    count = placed.select("page_id", "frame_count")
-    body = full_page_markdown(placed.drop("frame_count"), opt)
-    note = X.frame_note(F.coalesce("frame_count", F.lit(0)))
-    footer = F.regexp_extract("markdown", r"(?s)(\n\n---\nSource: [^\n]*)$", 1)
-    body = body.join(count, "page_id")
-    text = F.concat(F.regexp_replace("markdown", r"(?s)\n\n---\nSource: [^\n]*$", ""),
-                    F.rtrim(note, F.lit("\n")), footer)
-    return body.withColumn("markdown", text).withColumn(
-        "token_count", X.token_estimate(F.col("markdown"))).drop("frame_count")
+    if opt.scope != "mainContent":
+        notes = placed.select("page_id", F.lit("").alias("appended"), "frame_count")
+        return full_page_markdown(placed.drop("frame_count"), opt, notes)
+    ends = placed.filter("appended <> ''").select("page_id", "url", F.col("appended").alias("html"))
+    more = render(clean(page_nodes(ends), opt), opt).select("page_id", F.col("markdown").alias("appended"))
+    notes = placed.select("page_id", "frame_count").join(more, "page_id", "left")
+    return article_markdown(placed.drop("frame_count", "appended"), opt, notes)
 
 
 def flag_lazy(pages: DataFrame, hosts=None) -> DataFrame:
