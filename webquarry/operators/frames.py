@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry.functions import constants as C
@@ -101,8 +101,9 @@ def place_frames(pages: DataFrame, frames: DataFrame, opt: Options) -> DataFrame
     inlined = F.col("kind") == "inlined"
     shown = F.coalesce(F.col("src"), F.col("srcdoc"))
     if opt.scope == "mainContent":
+        order = Window.partitionBy("page_id").orderBy("frame")
         number = F.sum(inlined.cast("int")).over(
-            _frame_order().rowsBetween(-2_147_483_648, 0))
+            order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         part = F.when(inlined, F.concat(
             F.lit("<div><hr><h3>Embedded Content "), number.cast("string"), F.lit("</h3><div>"),
             F.col("body"), F.lit("</div></div>")))
@@ -126,12 +127,6 @@ def place_frames(pages: DataFrame, frames: DataFrame, opt: Options) -> DataFrame
     return df.withColumn("html", F.when(F.col("parts").isNotNull(), filled).otherwise(F.col("html"))).drop("parts")
 
 
-def _frame_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("page_id").orderBy("frame")
-
-
 def frame_docs(pages: DataFrame) -> DataFrame:
     """The frames of all pages with the documents that can be put in."""
     return join_frames(page_frames(pages), pages)
