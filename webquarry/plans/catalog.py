@@ -160,7 +160,7 @@ FRAMES_SQL = r"""
     || '](https://maps.example.org/' || n_nationkey || ')\]~~'
     || '\[Embedded content: Embedded content\]~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
     || 'accessed due to browser security policies. Some content may be missing. Links to these iframes have been preserved '
-    || 'where possible.', '~', chr(10)) AS markdown
+    || 'where possible.~', '~', chr(10)) AS markdown
   FROM nation JOIN region ON n_regionkey = r_regionkey
 """
 
