@@ -4,11 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from webquarry.functions import text as X
 from webquarry.operators import batch as B
 from webquarry.operators.budget import token_count_vocab
 from webquarry.operators.metadata import metadata_table
 from webquarry.options import Options
+from webquarry.plans.article import article_table
 from webquarry.plans.convert import convert, convert_with_frames
 from webquarry.sources import sinks
 from webquarry.sources.pages import read_html_files, read_vocab, vocab_table
@@ -167,3 +167,19 @@ def test_reopened_inline(spark):
     opt = Options(scope="fullPage", title=False, metadata=False, reopen_inline=True)
     got = convert(pages, opt).first().markdown
     assert got == "**x  \n**\n\n**y *z***\n\n-   **w**\n\n****v****\n\n****u****"
+
+
+def test_article_record(spark):
+    text = "<p>A paragraph, long enough to count as one, about nothing in particular.</p>"
+    long = ("<html lang='de'><head><title>A long title for one page</title></head><body><div dir='rtl'><span rel='author'>"
+            f"<i itemprop='name'>Jo Doe</i> writes</span>{text * 8}</div><div class='footer-links'>Down, there.</div></body></html>")
+    # too short at first, and its only text is in an unlikely element
+    short = f"<html><head><title>Another title for one page</title></head><body><div id='sidebar'>{text}</div></body></html>"
+    pages = spark.createDataFrame([(1, "https://e.com/a", long), (2, "https://e.com/b", short)],
+                                  "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in article_table(pages).collect()}
+    a, b = got[1], got[2]
+    line = "A paragraph, long enough to count as one, about nothing in particular."
+    assert (a.title, a.byline, a.dir, a.lang, a.attempt) == ("A long title for one page", "Jo Doe", "rtl", "de", 1)
+    assert a.excerpt == line and a.text_content == line * 8 and a.length == len(line) * 8
+    assert (b.attempt, b.text_content, b.lang) == (2, line, None)

@@ -95,3 +95,17 @@ def test_class_weight_and_scores(spark):
     assert got == [-25, 50, 0]
     tags = ["div", "td", "li", "h1", "p"]
     assert values(spark, tags, lambda t: X.initial_score(t, F.lit(0))) == [5, 3, -3, -5, 0]
+
+
+def test_srcset(spark):
+    got = values(spark, ["a.png 1x, /b.png 2x", "c.png"], lambda c: U.absolutize_srcset(c, F.lit("https://ex.com/d/")))
+    assert got == ["https://ex.com/d/a.png 1x, https://ex.com/b.png 2x", "https://ex.com/d/c.png"]
+
+
+def test_truncation_and_messages(spark):
+    long = "x" * 100_001
+    cut = values(spark, [long, "short"], lambda c: X.truncate_large(c, F.lit(True)))
+    assert cut[0].startswith("x" * 100_000 + "\n\n---\n*Note:") and cut[1] == "short"
+    assert values(spark, [long], lambda c: X.truncate_large(c, F.lit(False))) == [long]
+    assert values(spark, ["NO_SELECTION"], X.error_message)[0].startswith("No text is selected")
+    assert values(spark, ["2026-01-31 23:59:59"], lambda c: X.date_string(c.cast("timestamp"))) == ["2026-01-31"]

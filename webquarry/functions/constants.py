@@ -73,7 +73,6 @@ VIDEOS = (
 )
 AD_WORDS = r"(?iu)^(ad(vertising|vertisement)?|pub(licité)?|werb(ung)?|广告|Реклама|Anuncio)$"
 LOADING_WORDS = r"(?iu)^((loading|正在加载|Загрузка|chargement|cargando)(…|\.\.\.)?)$"
-IMAGE_FILE = r"(?i)\.(jpg|jpeg|png|webp)"
 BASE64_URL = r"(?i)^data:\s*([^\s;,]+)\s*;\s*base64\s*,"
 
 # Commas of various scripts.

@@ -49,11 +49,6 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
 
 
-def word_count(c: Column) -> Column:
-    """Parts of a split on white space, empty edge parts included."""
-    return F.size(F.split(c, f"[{WS}]+"))
-
-
 # ---------------------------------------------------------------- entities
 
 _REFERENCE = r"&#[xX][0-9a-fA-F]+;|&#[0-9]+;|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"

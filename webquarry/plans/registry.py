@@ -18,7 +18,7 @@ from webquarry.operators.blocks import text_blocks
 from webquarry.operators.budget import token_columns, token_count_vocab
 from webquarry.operators.frames import frame_docs, iframe_warnings
 from webquarry.operators.lineage import cut, work_folder
-from webquarry.operators.score import rank_candidates, score_candidates, with_features
+from webquarry.operators.score import score_candidates, with_features
 from webquarry.options import Options
 from webquarry.plans import catalog
 from webquarry.plans.article import article_markdown
