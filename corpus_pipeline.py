@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webquarry.llm import common, simhash, substring
+from webquarry.llm import bpe, common, langid, mixture, simhash, substring
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text in a known language go; a language that was missing is filled in."""
+    return langid.keep_identified(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +22,25 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substring.cut_repeats(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them: not at all, once or several times."""
+    return mixture.mixed(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, hashes of the ids and of the text decoded from them, a row for each document that the mix takes."""
+    return bpe.encoded_documents(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("simhash_near_dedup", simhash_near_dedup),
     ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: Language identification and hashes of the tokenizer have no SQL.
+#: Language identification has no SQL.
 ORACLE_SQL = None
 
 

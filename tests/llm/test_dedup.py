@@ -12,11 +12,6 @@ from webquarry.llm import common, registry, simhash, substring
 WORD = re.compile(common.WORD)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def workers(spark):
-    registry.importable(lambda s: None)(spark)
-
-
 def plain_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

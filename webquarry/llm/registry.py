@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from webquarry.llm import simhash, substring
+from webquarry.llm import bpe, langid, mixture, simhash, substring
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -24,8 +24,13 @@ def importable(query):
 
 
 QUERIES = {f.__name__: importable(f) for f in (
+    mixture.op2_mixture,
+    langid.op3_langid,
+    bpe.op6_byte_bpe,
     simhash.op7_simhash,
     substring.op10_substring,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_mixture": mixture.OP2_SQL,
+}
