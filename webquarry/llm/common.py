@@ -99,14 +99,15 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def blocked(df: DataFrame, keys: list[str], item: str, size: int) -> DataFrame:
+def blocked(df: DataFrame, keys: list[str], item: str, size: int, some: str | None = None) -> DataFrame:
     """Rows dealt to cells in which each pair of rows with equal keys meets, and no cell holds more than about 2 * size rows.
 
-    Groups of one row go, as they hold no pair. A group of up to `size` rows is one cell; a larger one, however hot, is split by the
+    Groups of one row go, as they hold no pair, and those in which the flag `some` is true for no row. A group of up to `size` rows is one cell; a larger one, however hot, is split by the
     hash of `item` into parts, and each pair of parts is a cell of its own: rows are copied once a part. Adds _p, the row's part, and
     _i <= _j, the parts that the cell compares: pairs are those of a part with itself where _i = _j, else of part _i with part _j.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    flag = F.bool_or(some) if some else F.lit(True)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), flag.alias("_some")).where("_n > 1 and _some")
     sizes = sizes.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
     own = F.pmod(F.xxhash64(item, F.lit(7)), F.col("_parts")).cast("int")
     parts = df.join(sizes, keys).withColumn("_p", own)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from webquarry.llm import bpe, langid, mixture, simhash, substring
+from webquarry.llm import bpe, langid, lattice, licenses, mixture, quality, simhash, substring, tokenfile, topk
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -24,13 +24,19 @@ def importable(query):
 
 
 QUERIES = {f.__name__: importable(f) for f in (
+    topk.op1_topk,
     mixture.op2_mixture,
     langid.op3_langid,
+    lattice.op4_lattice,
+    licenses.op5_licenses,
     bpe.op6_byte_bpe,
     simhash.op7_simhash,
+    tokenfile.op8_tokenfile,
+    quality.op9_quality,
     substring.op10_substring,
 )}
 
 ORACLES = {
+    "op1_topk": topk.OP1_SQL,
     "op2_mixture": mixture.OP2_SQL,
 }
