@@ -2,14 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from webquarry.operators import batch as B
 from webquarry.operators.budget import token_count_vocab
 from webquarry.operators.metadata import metadata_table
+from webquarry.operators.tokens import size_report
 from webquarry.options import Options
 from webquarry.plans.article import article_table
-from webquarry.plans.convert import convert, convert_with_frames
+from webquarry.plans.convert import convert
 from webquarry.sources import sinks
 from webquarry.sources.pages import read_html_files, read_vocab, vocab_table
 from webquarry.streaming.convert import convert_stream, read_page_stream
@@ -29,7 +31,18 @@ def names_one_by_one(titles):
 def test_unique_names(spark):
     titles = ["p_1", "p_3", "p", "p", "p", "q", "q", "q_1", "q_1", "q_1_1", "x", "x", "x", "y_1", "y", "y", "y", "z", "z", "z_1", "w", "w_2", "w", "w", "w"]
     df = spark.createDataFrame(list(enumerate(titles)), "page_id bigint, title string")
-    got = [r.file_name for r in B.unique_names(df, step=3).orderBy("page_id").collect()]
+    got = [r.file_name for r in B.unique_names(df).orderBy("page_id").collect()]
+    assert got == names_one_by_one(titles)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unique_names_of_clashing_titles(spark, seed):
+    rnd = random.Random(seed)
+    titles = [rnd.choice("qp") + "".join(f"_{rnd.choice([1, 1, 1, 2, 3, 7])}" for _ in range(rnd.randint(0, 3))) for _ in range(60)]
+    titles = ["q", "q", "q_1", "q_1_1"] + titles if seed == 0 else titles
+    at = sorted(rnd.randrange(-(2**62), 2**62) for _ in titles)  # hashed ids
+    df = spark.createDataFrame(list(zip(at, titles)), "page_id bigint, title string").repartition(3)
+    got = [r.file_name for r in B.unique_names(df).orderBy("page_id").collect()]
     assert got == names_one_by_one(titles)
 
 
@@ -37,7 +50,7 @@ def test_ranked_hot_key(spark):
     random.seed(1)
     rows = [(i, "hot" if random.random() < 0.5 else f"k{random.randrange(9)}") for i in range(500)]
     df = spark.createDataFrame(rows, "page_id bigint, k string")
-    got = {r.page_id: r["rank"] for r in B.ranked(df, "k", "page_id", step=7).collect()}
+    got = {r.page_id: r["rank"] for r in B.ranked(df, "k", "page_id").collect()}
     seen = {}
     for i, k in rows:
         assert got[i] == seen.get(k, 0)
@@ -84,15 +97,26 @@ def test_vocabulary(spark, tmp_path):
     assert token_count_vocab(df.filter("id = 0"), empty, "id", "text", "e").first().token_count == 2
 
 
+def test_vocabulary_of_long_words_and_texts(spark):
+    long = "x" * 50
+    raw = spark.createDataFrame([("e", ",".join(str(b) for b in long.encode()), 9), ("e", "120", 1)], "encoding string, bytes string, rank bigint")
+    df = spark.createDataFrame([(1, long * 3 + "xx"), (2, ("ab " + long) * 700)], "id bigint, text string")
+    got = {r.id: r.token_count for r in token_count_vocab(df, vocab_table(raw), "id", "text", "e").collect()}
+    assert got == {1: 5, 2: 4 * 700}
+
+
 def test_selection_and_guard(spark):
     html = "<html><head><title>T</title></head><body><p>all</p></body></html>"
-    pages = spark.createDataFrame([(1, "https://e.com/", html), (2, "https://e.com/", html)],
+    pages = spark.createDataFrame([(i, "https://e.com/", html) for i in (1, 2, 3)],
                                   "page_id bigint, url string, html string")
     picks = spark.createDataFrame([(1, "<b>part</b>"), (2, " <p> </p>")], "page_id bigint, fragment_html string")
     got = {r.page_id: r for r in convert(pages, Options(scope="selection", metadata=False), picks).collect()}
     assert got[1].markdown == "# T\n\n**part**" and got[2].error_code == "NO_SELECTION"
-    guarded = convert(pages, Options(scope="fullPage", max_elements=3)).collect()
-    assert all(not r.success and "elements found" in r.error_detail for r in guarded)
+    assert got[3].error_code == "NO_SELECTION" and not got[3].success and len(got) == 3
+    assert [r.n_elements for r in size_report(pages, 3).collect()] == [5, 5, 5]
+    assert [r.large for r in size_report(pages, 4).collect()] == [True] * 3
+    ordered = convert(pages.withColumn("ord", F.col("page_id") * 10), Options(scope="fullPage")).collect()
+    assert sorted((r.page_id, r.ord) for r in ordered) == [(1, 10), (2, 20), (3, 30)]
 
 
 def test_empty_page_is_a_row(spark):
@@ -112,16 +136,17 @@ def test_sinks_and_files(spark, tmp_path):
     assert files == {"T.md": "a\nb", "T_1.md": "c"}
     sinks.write_markdown_files(df, str(tmp_path / "m"))
     assert {p.name for p in (tmp_path / "m").iterdir() if p.is_dir()} == {"file_name=T.md", "file_name=T_1.md"}
-    merged = B.merge_markdown(df.withColumn("g", F.lit("all")), "g", "page_id")
+    merged = B.merge_markdown(df.withColumn("g", F.lit("all")), "g", "page_id", per_part=1)
     sinks.write_merged(merged, str(tmp_path / "g"), "g")
-    assert list((tmp_path / "g/g=all").glob("part-*"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "g/g=all").glob("part-*"))) == "a\nb\n\n---\n\nc\n"
+    assert B.merge_markdown(df.filter("NOT success").withColumn("g", F.lit("x")), "g", "page_id").first().error
     (tmp_path / "h").mkdir()
     (tmp_path / "h/x.html").write_text("<p>x</p>")
     assert read_html_files(spark, str(tmp_path / "h")).first().html == "<p>x</p>"
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(1000)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages.write.parquet(str(tmp_path / "in"))
     opt = Options(scope="fullPage")
     stream = read_page_stream(spark, str(tmp_path / "in"))
@@ -156,7 +181,7 @@ def test_frames_at_the_end_of_an_article(spark):
     inner = "<html><body><p>" + "inside the frame " * 6 + "</p></body></html>"
     pages = spark.createDataFrame([(1, "https://e.com/a", doc), (2, "https://e.com/in", inner)],
                                   "page_id bigint, url string, html string")
-    got = {r.page_id: r.markdown for r in convert_with_frames(pages, Options(metadata=False)).collect()}
+    got = {r.page_id: r.markdown for r in convert(pages, Options(metadata=False)).collect()}
     end = "\n\n---\n\n### Embedded Content 1\n\n" + ("inside the frame " * 6).strip()
     assert got[1].startswith("# Page of frames\n\n" + text.strip() + end + "\n\n---\n> **Note:** This page contains 1 ")
 

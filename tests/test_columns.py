@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from webquarry.functions import markup as M
 from webquarry.functions import text as X
 from webquarry.functions import urls as U
+from webquarry.operators import article as A
+from webquarry.operators import tokens as T
 
 
 def values(spark, cases, fn, columns=("c",)):
@@ -102,10 +104,30 @@ def test_srcset(spark):
     assert got == ["https://ex.com/d/a.png 1x, https://ex.com/b.png 2x", "https://ex.com/d/c.png"]
 
 
-def test_truncation_and_messages(spark):
-    long = "x" * 100_001
-    cut = values(spark, [long, "short"], lambda c: X.truncate_large(c, F.lit(True)))
-    assert cut[0].startswith("x" * 100_000 + "\n\n---\n*Note:") and cut[1] == "short"
-    assert values(spark, [long], lambda c: X.truncate_large(c, F.lit(False))) == [long]
+def test_messages_and_days(spark):
     assert values(spark, ["NO_SELECTION"], X.error_message)[0].startswith("No text is selected")
     assert values(spark, ["2026-01-31 23:59:59"], lambda c: X.date_string(c.cast("timestamp"))) == ["2026-01-31"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert values(spark, ["2026-01-31 23:59:59"], lambda c: X.date_string(c.cast("timestamp"))) == ["2026-02-01"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_long_pages_crash_no_task(spark):
+    many = 100_000
+    tag = "<a " + "".join(f'x{i}="{i}" ' for i in range(many)) + 'href="/y" title>'
+    got = values(spark, [tag], lambda c: M.own("href", c))
+    assert got == ["/y"]
+    assert values(spark, [tag], lambda c: M.own("class", c)) == [""]
+    assert values(spark, ["<br>" * many], A.paragraphs_from_breaks) == ["<p>"]
+    image = "<img " + 'a="b" ' * many + ">"
+    assert values(spark, [f"{image} <noscript>{image}</noscript>"], A.unwrap_noscript) == [image + " "]
+    rows = values(spark, ["<" * many + "x"], lambda c: F.array_join(T.split_html(c), ""))
+    assert rows == ["<" * many + "x"]
+
+
+def test_own_attribute(spark):
+    cases = {'<a title="x href=z" HREF = "/y">': "/y", "<a href='/q' href=2>": "/q", "<a href>": "", "<a xhref=1>": "",
+             "<a class=b href=/u/>": "/u/", "<a\n data-href='n'\n href=m>": "m"}
+    assert values(spark, list(cases), lambda c: M.own("href", c)) == list(cases.values())

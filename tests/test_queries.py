@@ -1,18 +1,13 @@
-"""Registered queries against their SQL on the smallest tables; the slow ones run in the driver."""
+"""Registered queries against their SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from webquarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = [
-    "html_tokens", "tag_counts", "attributes", "entity_decode", "blocks_of_text", "node_features", "page_links",
-    "page_titles", "title_similarity", "page_hosts", "metadata_footer", "file_names", "token_estimates",
-    "token_heuristics", "limit_reports", "md_escape", "post_processed", "paragraph_scores", "merged_bundle",
-    "results_summary", "full_page", "catalog_markdown", "supplier_metadata", "frame_warnings", "framed_pages",
-    "titles_in_headings", "list_ancestors", "size_guard", "export_names", "streamed_counts", "article",
-]
+OWN = registry.ORACLES
 
 
 def normal(rows):
@@ -29,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)

@@ -46,8 +46,10 @@ def attr(tok: Column, name: str) -> Column:
     return F.when(has, attr_of(attributes(tok), name))
 
 
-# The attributes of a tag up to the one looked for.
-_EARLIER = r"""(?is)^<[^\s/>]+(?:\s+[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+"""
+def _upto(name: str) -> str:
+    """The attributes of a tag up to the one looked for; possessive, so that no tag is too long."""
+    return (r"""(?is)^<[^\s/>]++(?:\s++(?!""" + name + r"""[\s=/>])[^\s=>]++"""
+            r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+\s++""")
 
 
 def own(name: str, tok: str | Column = "tok") -> Column:
@@ -56,12 +58,12 @@ def own(name: str, tok: str | Column = "tok") -> Column:
     Only expressions that compile into the stage around them, for use on every row.
     """
     tok = F.col(tok) if isinstance(tok, str) else tok
-    pattern = _EARLIER + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    pattern = _upto(name) + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     return F.coalesce(F.btrim(F.regexp_extract(tok, pattern, 1), F.lit("\"'")), F.lit(""))
 
 
 def has_attr(name: str) -> Column:
-    return F.coalesce(F.col("tok").rlike(_EARLIER + name + r"(?:[\s=/>])"), F.lit(False))
+    return F.coalesce(F.col("tok").rlike(_upto(name) + name + r"(?:[\s=/>])"), F.lit(False))
 
 
 def has_class(cls: Column, names) -> Column:

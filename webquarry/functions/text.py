@@ -133,17 +133,20 @@ def text_similarity(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- names and dates
 
 
-def sanitize_filename(c: Column, default: str = "untitled", slash_to_underscore=False) -> Column:
-    blank = f"[{WS}./]+" if slash_to_underscore else f"[{WS}.]+"
+def sanitize_filename(c: Column, default: str = "untitled", longest: int = C.MAX_FILE_NAME) -> Column:
+    """A title as a file name of ``longest`` signs at most, as file systems want; the title itself stays beside it."""
+    blank = f"[{WS}.]+"
     out = F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1F]', "")
     out = F.regexp_replace(out, blank, "_")
     out = F.btrim(F.regexp_replace(out, "_+", "_"), F.lit("_"))
-    out = F.rtrim(F.substring(out, 1, C.MAX_FILE_NAME), F.lit("_"))
+    out = F.rtrim(F.substring(out, 1, longest), F.lit("_"))
     return F.coalesce(F.nullif(out, F.lit("")), F.lit(default))
 
 
 def date_string(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    """The day of a time in UTC, whatever the time zone of the session."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp").cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd")
 
 
 # ---------------------------------------------------------------- token estimates
@@ -308,24 +311,13 @@ def post_process(c: Column) -> Column:
     return F.regexp_replace(out, r"(\n[*\-+] [^\n]+)(\n[*\-+] )", "$1\n$2")
 
 
-def truncate_large(c: Column, failed: Column) -> Column:
-    """Fallback for large content whose conversion failed: its start, with a note."""
-    cut = F.concat(F.substring(c, 1, C.TRUNCATE_AT), F.lit(C.TRUNCATION_NOTE))
-    return F.when(failed & (F.length(c) > C.TRUNCATE_AT), cut).otherwise(c)
-
-
 def prepend_title(markdown: Column, title: Column) -> Column:
     t = trim_ws(F.coalesce(title, F.lit("")))
     return F.when(t != "", F.concat(F.lit("# "), t, F.lit("\n\n"), markdown)).otherwise(markdown)
 
 
 def frame_note(count: Column) -> Column:
-    text = (
-        "\n\n---\n> **Note:** This page contains %d cross-origin iframe(s) that could not be "
-        "accessed due to browser security policies. Some content may be missing. Links to these "
-        "iframes have been preserved where possible.\n"
-    )
-    return F.when(count > 0, F.format_string(text, count.cast("long"))).otherwise(F.lit(""))
+    return F.when(count > 0, F.format_string(C.FRAME_NOTE, count.cast("long"))).otherwise(F.lit(""))
 
 
 def append_notes(markdown: Column, frames: Column) -> Column:

@@ -1,7 +1,7 @@
 """Operators over many conversion results: names, merges, summaries, reduction.
 
 A group may hold a third of all rows, so nothing here gathers a group in one task: ranks are
-put together from ranges of ``ord``, merged text comes in parts, medians from counts per value.
+put together from ranges of rows, merged text comes in parts, medians from counts per value.
 """
 
 from __future__ import annotations
@@ -14,87 +14,120 @@ from webquarry.functions import text as X
 from webquarry.operators.lineage import cut
 
 
-def ranked(df: DataFrame, key: str, order: str, step: int = 10_000, name: str = "rank") -> DataFrame:
-    """Rank from 0 of each row among the rows with its ``key``, by the whole number ``order``.
+def ranked(df: DataFrame, key: str, order: str | list[str], name: str = "rank") -> DataFrame:
+    """Rank from 0 of each row among the rows with its ``key``, by ``order``.
 
-    Rows are ranked inside ranges of ``step`` orders and moved by the counts of earlier ranges.
+    Rows are dealt out by ranges of key and order, ranked inside their range and moved by the counts of the
+    key's earlier ranges. A hot key fills several ranges, whatever its orders look like.
     """
-    df = df.withColumn("_range", F.floor(F.col(order) / step))
+    order = [order] if isinstance(order, str) else order
+    # the ranges are read twice, so they are written first
+    df = cut(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
     counts = df.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(key, "_range").orderBy(order)
+    base = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_range").orderBy(*order)
     df = df.withColumn("_in", F.row_number().over(inside) - 1)
-    return df.join(base, [key, "_range"]).withColumn(name, F.col("_in") + F.col("_base")).drop(
-        "_in", "_base", "_range")
+    both = df.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return both.withColumn(name, F.col("_in") + F.col("_base")).drop("_in", "_base", "_range", "_key", "_at")
 
 
-def unique_names(df: DataFrame, title: str = "title", order: str = "page_id",
-                 step: int = 10_000) -> DataFrame:
+_SUFFIX = r"_([1-9][0-9]*)$"
+
+
+def unique_names(df: DataFrame, title: str = "title", order: str = "page_id") -> DataFrame:
     """``file_name``: the sanitised title, with ``_1``, ``_2`` … from its second use on.
 
-    A number is skipped when its name is the title of an earlier row; a row whose plain name a
-    number took before counts on from its own name. Only titles that end in a number and whose
-    stem is used twice can clash, so each pass over those is small: it settles the smallest
-    clash of every name, and passes go on until there is none.
+    Two things can clash: a number given to a stem, and a title that ends in it. If the title came first, the
+    stem skips the number; if not, the title finds its plain name taken and counts on from 1 itself. Only
+    stems with such titles are looked at, in a table of one row a title; their numbers follow from how many
+    rows of the stem came before it. A title that is a stem itself waits for its own stem, so there are as
+    many rounds as a name has numbers at its end.
     """
-    names = cut(df.select(order, X.sanitize_filename(F.col(title)).alias("base")))
-    uses = ranked(names, "base", order, step, "use")
-    digits = F.regexp_extract("base", r"_([1-9][0-9]*)$", 1)
-    rivals = uses.filter((F.col("use") == 0) & (digits != "")).select(
-        F.regexp_extract("base", r"^(.*)_[0-9]+$", 1).alias("stem"), digits.try_cast("bigint").alias("n"),
-        F.col("base").alias("rival"), F.col(order).alias("_at"))
-    twice = uses.filter("use = 1").select(F.col("base").alias("stem"))
-    rivals = rivals.join(twice, "stem", "left_semi")
-    none = F.array().cast("array<bigint>")
-    uses = uses.withColumns({"skips": none, "late": F.lit(0)})
-    if not rivals.isEmpty():
-        while True:
-            numbered = _numbered(uses)
-            clash = rivals.join(
-                numbered.filter("number > 0").select(
-                    F.col("base").alias("stem"), F.col("number").alias("n"), F.col(order).alias("_used")),
-                ["stem", "n"])
-            skip = clash.filter("_at < _used").groupBy(F.col("stem").alias("base")).agg(
-                F.min("n").alias("new_skip"))
-            late = clash.filter("_at > _used").select(F.col("rival").alias("base"), F.lit(1).alias("new_late"))
-            step_ = uses.join(skip, "base", "left").join(late.distinct(), "base", "left")
-            changed = F.col("new_skip").isNotNull() | (F.coalesce("new_late", F.lit(0)) != F.col("late"))
-            after = cut(step_.select(
-                order, "base", "use",
-                F.when(F.col("new_skip").isNull(), F.col("skips")).otherwise(
-                    F.array_sort(F.concat("skips", F.array("new_skip")))).alias("skips"),
-                F.coalesce("new_late", F.lit(0)).alias("late"), changed.alias("changed")))
-            uses = after.drop("changed")
-            if after.filter("changed").isEmpty():
-                break
-    n = F.col("number")
-    name = F.concat("base", F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")),
-                    F.lit(".md"))
-    return df.join(_numbered(uses).select(order, name.alias("file_name")), order)
-
-
-def _numbered(uses: DataFrame) -> DataFrame:
-    """``number`` of each use: its rank, moved past the skipped numbers."""
-    rank = (F.col("use") + F.col("late")).cast("bigint")
-    moved = F.aggregate("skips", rank, lambda n, s: F.when(s <= n, n + 1).otherwise(n))
-    return uses.withColumn("number", F.when(rank == 0, rank).otherwise(moved))
+    uses = ranked(df.select(F.col(order).alias("_order"), X.sanitize_filename(F.col(title)).alias("base")), "base", "_order", "use")
+    stems = uses.groupBy("base").agg(F.count("*").alias("uses"), F.min("_order").alias("first"))
+    rivals = stems.select(
+        F.regexp_replace("base", _SUFFIX, "").alias("stem"),
+        F.regexp_extract("base", _SUFFIX, 1).try_cast("bigint").alias("n"), F.col("base").alias("rival"), "first",
+    ).filter("n IS NOT NULL AND stem <> ''")
+    clashes = cut(rivals.join(stems.select(F.col("base").alias("stem"), "uses"), "stem"))
+    number = F.col("use")
+    if not clashes.isEmpty():
+        info = _settled(uses, clashes)
+        # a row is moved on by the skips below its number: rank it among them
+        marks = info.select("base", F.explode("skips").alias("at"), F.lit(0).alias("row"), F.lit(None).alias("_order"))
+        known = uses.join(info.select("base", "late"), "base")
+        rows = known.select("base", F.col("use").alias("at"), F.lit(1).alias("row"), "_order")
+        moved = ranked(rows.unionByName(marks), "base", ["at", "row"], "moved").filter("row = 1")
+        late = info.select("base", F.col("late").cast("int").alias("late"))
+        moved = moved.join(late, "base").select("_order", (F.col("moved") + F.col("late")).alias("number"))
+        uses = uses.join(moved, "_order", "left")
+        number = F.coalesce("number", "use")
+    name = F.concat("base", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(F.lit("")), F.lit(".md"))
+    names = uses.select("_order", name.alias("file_name"))
+    return df.join(names, F.col(order) == F.col("_order")).drop("_order")
+
+
+def _settled(uses: DataFrame, clashes: DataFrame) -> DataFrame:
+    """``base, late, skips`` of the names that clash: ``skips`` are ranks of the base's rows before which a number is left out."""
+    marks = clashes.select(F.col("stem").alias("base"), F.col("first").alias("_order"), "rival")
+    # rows of the stem before the rival's first: its rank among both, less its rank among rivals
+    own = uses.join(clashes.select(F.col("stem").alias("base")).distinct(), "base", "left_semi")
+    both = own.select("base", "_order", F.lit(None).cast("string").alias("rival")).unionByName(marks)
+    among = ranked(both, "base", "_order", "all").filter("rival IS NOT NULL")
+    before = among.join(ranked(marks, "base", "_order", "other").select("rival", "other"), "rival")
+    before = before.select("rival", (F.col("all") - F.col("other")).alias("before"))
+    depth = F.length(F.regexp_extract("stem", r"((?:_[1-9][0-9]*)*)$", 1)) - F.length(
+        F.regexp_replace(F.regexp_extract("stem", r"((?:_[1-9][0-9]*)*)$", 1), "_", ""))
+    table = cut(clashes.join(before, "rival").withColumn("depth", depth))
+    late, done = None, None
+    # a name has 50 numbers at its end at most
+    for (level,) in table.select("depth").distinct().orderBy("depth").collect():
+        own = table.filter(F.col("depth") == level).groupBy("stem").agg(
+            F.first("uses").alias("uses"), F.array_sort(F.collect_list(F.struct("n", "before", "rival"))).alias("rivals"))
+        own = own.withColumn("late", F.lit(False)) if late is None else own.join(
+            late.select(F.col("base").alias("stem"), F.lit(True).alias("late")), "stem", "left").withColumn(
+            "late", F.coalesce("late", F.lit(False)))
+
+        def step(s, r):
+            skipped = F.size(s["skips"])
+            row = r["n"] - skipped - F.col("late").cast("int")
+            taken, passed = row < r["before"], (row >= r["before"]) & (row < F.col("uses"))
+            return F.struct(
+                F.when(passed, F.concat(s["skips"], F.array(row))).otherwise(s["skips"]).alias("skips"),
+                F.when(taken, F.concat(s["lates"], F.array(r["rival"]))).otherwise(s["lates"]).alias("lates"))
+
+        empty = F.struct(F.array().cast("array<bigint>").alias("skips"), F.array().cast("array<string>").alias("lates"))
+        found = cut(own.select("stem", "late", F.aggregate("rivals", empty, step).alias("s")))
+        names = found.select(F.explode("s.lates").alias("base"))
+        late = names if late is None else late.unionByName(names)
+        level_done = found.select(F.col("stem").alias("base"), "late", F.col("s.skips").alias("skips"))
+        done = level_done if done is None else done.unionByName(level_done)
+    # titles that are late and no stem of others
+    rest = late.join(done.select("base"), "base", "left_anti").select("base", F.lit(True).alias("late"), F.array().cast("array<bigint>").alias("skips"))
+    return done.unionByName(rest)
 
 
 def merge_markdown(results: DataFrame, group: str, order: str, text: str = "markdown",
                    per_part: int = 1_000, separator: str = C.MERGE_SEPARATOR) -> DataFrame:
-    """Merged text of every group in input order: ``group, part, n, markdown``.
+    """Merged text of every group in input order: ``group, part, n, markdown, error``.
 
-    A part holds the rows of ``per_part`` consecutive orders. The parts of a group, joined by
-    the separator, are its whole text; no task ever holds more than one part.
+    A part holds ``per_part`` successful rows. The parts of a group, joined by the separator, are its whole
+    text; no task ever holds more than one part. A group without any success is a row with ``error``.
     """
-    ok = results.filter(F.col("success")) if "success" in results.columns else results
-    ok = ok.withColumn("part", F.floor(F.col(order) / per_part).cast("bigint"))
+    if "success" not in results.columns:
+        results = results.withColumn("success", F.lit(True))
+    ok = ranked(results.filter("success").select(group, order, text), group, order, "part")
+    ok = ok.withColumn("part", F.floor(F.col("part") / per_part).cast("bigint"))
     sep = separator.replace("\n", "\\n")
-    return ok.groupBy(group, "part").agg(
-        F.count(text).alias("n"),
+    parts = ok.groupBy(group, "part").agg(
+        F.count("*").alias("n"),
         F.expr(f"listagg({text}, '{sep}') WITHIN GROUP (ORDER BY {order})").alias("markdown"),
-    )
+    ).withColumn("error", F.lit(None).cast("string"))
+    none = results.groupBy(group).agg(F.count_if("success").alias("n")).filter("n = 0")
+    failed = none.select(group, F.lit(0).cast("bigint").alias("part"), "n", F.lit(None).cast("string").alias("markdown"),
+                         F.lit(C.NOTHING_CONVERTED).alias("error"))
+    return parts.unionByName(failed)
 
 
 def results_summary(results: DataFrame, by: list[str] | None = None,
@@ -129,25 +162,23 @@ def export_manifest(results: DataFrame, day: str) -> DataFrame:
 def reduction_stats(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Tokens of the HTML against tokens of the Markdown: sums, smallest, median, largest ratio.
 
-    Ratios are counted in thousandths, so the number of distinct values is small whatever the
-    number of pages, and the median is exact on them.
+    Ratios are counted in thousandths, and the median is exact on them.
     """
     before = pages.select("page_id", X.token_estimate(F.col("html")).alias("html_tokens"))
     both = before.join(results.filter("success AND token_count > 0").select("page_id", "token_count"), "page_id")
     per = both.withColumn("ratio_1000", F.floor(F.col("html_tokens") * 1000 / F.col("token_count")))
     counts = per.groupBy("ratio_1000").agg(
         F.count("*").alias("n"), F.sum("html_tokens").alias("h"), F.sum("token_count").alias("m"))
-    values = F.array_sort(F.collect_list(F.struct("ratio_1000", "n")))
-    # thousandths of a ratio: a few ten thousand distinct values at most
     stats = counts.agg(
         F.sum("n").alias("n_pages"), F.sum("h").alias("html_tokens"), F.sum("m").alias("markdown_tokens"),
-        F.min("ratio_1000").alias("min_ratio_1000"), F.max("ratio_1000").alias("max_ratio_1000"),
-        values.alias("v"))
-    half = F.floor((F.col("n_pages") + 1) / 2)
-    walk = F.aggregate(
-        "v", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("value")),
-        lambda a, x: F.struct(
-            (a["upto"] + x["n"]).alias("upto"),
-            F.coalesce(a["value"], F.when(a["upto"] + x["n"] >= half, x["ratio_1000"])).alias("value")),
-        lambda a: a["value"])
-    return stats.withColumn("median_ratio_1000", walk).drop("v")
+        F.min("ratio_1000").alias("min_ratio_1000"), F.max("ratio_1000").alias("max_ratio_1000"))
+    half = stats.select(F.floor((F.col("n_pages") + 1) / 2)).scalar()
+    # first the bucket that holds the median: 64 to each doubling, so 4,096 rows at most; then the value in it
+    bucketed = counts.withColumn("bucket", F.floor(F.log2(F.col("ratio_1000") + 1) * 64))
+    upto = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = bucketed.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("upto", upto).filter(
+        (F.col("upto") >= half) & (F.col("upto") - F.col("n") < half))
+    inside = bucketed.join(edge.select("bucket", (F.col("upto") - F.col("n")).alias("below")), "bucket")
+    run = F.sum("n").over(Window.partitionBy("bucket").orderBy("ratio_1000").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    value = inside.withColumn("run", run + F.col("below")).filter(F.col("run") >= half).agg(F.min("ratio_1000"))
+    return stats.withColumn("median_ratio_1000", value.scalar())

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from webquarry.functions import text as X
 from webquarry.options import DEFAULT_CONTEXT_LIMIT
 
-MAX_TOKEN_BYTES = 32
+#: Bytes of a text whose windows are looked up from one row.
+CHUNK = 1024
 
 
 def token_columns(df: DataFrame, text: str, limit: int = DEFAULT_CONTEXT_LIMIT) -> DataFrame:
@@ -23,30 +24,28 @@ def token_count_vocab(df: DataFrame, vocab: DataFrame, key: str, text: str, enco
     """Tokens of every text by a vocabulary: ``key, token_count``.
 
     From left to right, among the known byte strings that start at a position the one of the
-    highest rank is taken, one byte if none is known. Every position is looked up at once by an
-    equality join on the bytes; the walk then follows the jumps of one text. Only lengths that
-    the vocabulary has are tried.
+    highest rank is taken, one byte if none is known. The different windows of a text are looked up by
+    an equality join; the known ones become a pattern whose alternatives stand by first byte and rank,
+    and the walk is one match of that pattern after the other. Only lengths that the vocabulary has
+    are tried.
     """
     words = vocab.filter(F.col("encoding") == encoding)
-    # 32 numbers at most, by the definition of the vocabulary
-    sizes = sorted(r[0] for r in words.select("n_bytes").distinct().collect()) or [1]
-    lengths = F.array(*[F.lit(n) for n in sizes])
-    hexed = df.select(key, F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("h"))
-    size = (F.length("h") / 2).cast("int")
-    spots = hexed.select(
-        key, "h", F.explode_outer(F.when(size > 0, F.sequence(F.lit(1), size))).alias("at"))
-    left = (F.length("h") / 2).cast("int") - F.col("at") + 1
-    tried = spots.select(
-        key, "at", F.substr("h", F.col("at") * 2 - 1, F.lit(2 * MAX_TOKEN_BYTES)).alias("ahead"),
-        F.explode_outer(F.filter(lengths, lambda n: n <= left)).alias("n_bytes"))
-    tried = tried.withColumn("bytes", F.substr("ahead", F.lit(1), F.col("n_bytes") * 2))
-    found = tried.join(words.select("bytes", "rank"), "bytes", "left")
-    jumps = found.groupBy(key, "at").agg(
-        F.coalesce(F.max_by("n_bytes", "rank"), F.lit(1)).alias("jump"))
-    walk = F.aggregate(
-        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "jump")))),
-        F.struct(F.lit(1).alias("next"), F.lit(0).cast("bigint").alias("n")),
-        lambda s, j: F.when(j["at"] == s["next"], F.struct(
-            (s["next"] + j["jump"]).alias("next"), (s["n"] + 1).alias("n"))).otherwise(s),
-        lambda s: s["n"])
-    return jumps.groupBy(key).agg(walk.alias("token_count"))
+    sizes = F.coalesce(words.agg(F.sort_array(F.collect_set("n_bytes"))).scalar(), F.array(F.lit(1)))
+    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    n = F.octet_length("b")
+    chunks = df.select(key, data.alias("b"), sizes.alias("sizes")).filter(n > 0).select(
+        key, "b", "sizes", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c")
+    ).select(key, "sizes", F.substr("b", F.col("c") * CHUNK + 1, F.lit(CHUNK) + F.array_max("sizes")).alias("b"))
+    windows = F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(n, F.lit(CHUNK))),
+        lambda at: F.transform("sizes", lambda size: F.hex(F.substr("b", at, size))))))
+    tried = chunks.select(key, F.explode(windows).alias("bytes")).distinct()
+    found = tried.join(words.select("bytes", "rank"), "bytes")
+    first = F.substring("bytes", 1, 2)
+    by_first = found.groupBy(key, first.alias("first")).agg(
+        F.expr("listagg(substr(bytes, 3), '|') WITHIN GROUP (ORDER BY rank DESC)").alias("rests"))
+    patterns = by_first.groupBy(key).agg(
+        F.concat(F.expr("listagg(concat(first, '(?:', rests, '|)'), '|')"), F.lit("|..")).alias("pattern"))
+    texts = df.select(key, F.hex(data).alias("h")).join(patterns, key, "left")
+    count = F.regexp_count("h", F.coalesce("pattern", F.lit("..")))
+    return texts.select(key, count.cast("bigint").alias("token_count"))

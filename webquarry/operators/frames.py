@@ -14,9 +14,13 @@ from webquarry.options import Options
 FRAME = r"""(?is)(<iframe\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>)(?:[^<]*</iframe\s*>)?"""
 
 
+# comments, scripts and styles: what looks like a frame in them is none
+UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+
+
 def page_frames(pages: DataFrame) -> DataFrame:
     """One row per frame: ``page_id, frame, tok, src, srcdoc, title, sandboxed``."""
-    html = F.regexp_replace("html", "(?s)<!--.*?-->", "")
+    html = F.regexp_replace("html", UNSEEN, "")
     rows = pages.select(
         "page_id", F.col("url").alias("page_url"),
         F.posexplode(F.regexp_extract_all(html, F.lit(FRAME), F.lit(1))).alias("frame", "tok"))
@@ -32,6 +36,11 @@ def page_frames(pages: DataFrame) -> DataFrame:
     )
 
 
+def address(url: Column) -> Column:
+    """An address without fragment, host in lower case and without the default port, as a key."""
+    return F.regexp_replace(U.absolutize(url, url), "#.*$", "")
+
+
 def is_remote(src: Column) -> Column:
     return F.coalesce((src != "") & ~src.isin("about:blank", "javascript:void(0)"), F.lit(False))
 
@@ -44,25 +53,27 @@ def frame_body(html: Column) -> Column:
 
 
 def join_frames(frames: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add ``body`` (what to put in; null if not of the same origin or too short) and ``kind``.
+    """Add ``body`` (what to put in; null if not of the same origin) and ``kind``.
 
-    The document of a frame is the page whose address is the frame's: an equality join.
+    The document of a frame is the page whose address, without fragment, is the frame's: an equality
+    join. Only pages that a frame of their origin asks for take part with their HTML, each once.
     """
-    docs = pages.groupBy(F.col("url").alias("_key")).agg(F.min_by("html", "page_id").alias("doc"))
-    # frames without an address get keys of their own, so that they do not meet in one task
-    key = F.coalesce("src", F.concat(F.lit("#"), "page_id", F.lit("-"), "frame"))
-    df = frames.withColumn("_key", key).join(docs, "_key", "left").drop("_key")
     same = U.origin(F.col("src")) == U.origin(F.col("page_url"))
+    frames = frames.withColumn("_key", F.when(same & ~F.col("sandboxed") & F.col("srcdoc").isNull(), address(F.col("src"))))
+    wanted = frames.filter("_key IS NOT NULL").select("_key").distinct()
+    own = pages.withColumn("_key", address(F.col("url"))).join(wanted, "_key", "left_semi")
+    docs = own.groupBy("_key").agg(F.min_by("html", "page_id").alias("doc"))
+    # a null key joins nothing and, as the left side of a join, is dealt to no single task by adaptive execution
+    known = frames.filter("_key IS NOT NULL").join(docs, "_key", "left")
+    rest = frames.filter("_key IS NULL").withColumn("doc", F.lit(None).cast("string"))
+    df = known.select(*frames.columns, "doc").unionByName(rest).drop("_key")
     inner = F.when(~F.col("sandboxed"), F.coalesce(
         "srcdoc", F.when(same & F.col("doc").isNotNull(), F.col("doc"))))
     df = df.withColumn("body", frame_body(inner))
-    text = X.trim_ws(X.decode_entities(F.regexp_replace("body", "<[^>]*>", "")))
-    long_enough = F.length(text) > C.MIN_FRAME_CHARS
     empty = F.col("hidden") & F.col("src").isNull() & F.col("srcdoc").isNull()
     kind = (
         F.when(empty, F.lit("hidden"))
-        .when(F.col("body").isNotNull() & long_enough, F.lit("inlined"))
-        .when(F.col("body").isNotNull(), F.lit("short"))
+        .when(F.col("body").isNotNull(), F.lit("inlined"))
         .when(same | F.col("srcdoc").isNotNull(), F.lit("skipped"))
         .when(is_remote(F.col("src")), F.lit("crossOrigin"))
         .otherwise(F.lit("skipped"))
@@ -82,13 +93,11 @@ def frame_placeholder(src: Column, title: Column) -> Column:
 
 
 def iframe_warnings(frames: DataFrame) -> DataFrame:
-    """Cross-origin frames of each page: type, count and the first three."""
+    """Cross-origin frames of each page: type, count and what they are."""
     far = frames.filter(F.col("kind") == "crossOrigin")
-    first = F.when(F.col("frame_rank") <= 3, F.struct("frame", "src", "title"))
-    rank = F.expr("row_number() OVER (PARTITION BY page_id ORDER BY frame)")
-    return far.withColumn("frame_rank", rank).groupBy("page_id").agg(
+    return far.groupBy("page_id").agg(
         F.lit("crossOriginIframe").alias("type"), F.count("*").alias("count"),
-        F.transform(F.array_sort(F.collect_list(first)),
+        F.transform(F.array_sort(F.collect_list(F.struct("frame", "src", "title"))),
                     lambda f: F.struct(f["src"].alias("src"), f["title"].alias("title"))).alias("details"))
 
 
@@ -120,13 +129,13 @@ def place_frames(pages: DataFrame, frames: DataFrame, opt: Options) -> DataFrame
         return df.withColumns({
             "appended": F.concat_ws("", F.transform("parts", lambda p: p["part"])),
             "html": F.regexp_replace("html", FRAME, "")}).drop("parts")
-    plain = F.regexp_replace("html", "(?s)<!--.*?-->", "")
+    plain = F.regexp_replace("html", UNSEEN, "")
     around = F.split(plain, FRAME)
     filled = F.array_join(F.transform(
         around, lambda t, i: F.concat(t, F.coalesce(F.get(F.col("parts"), i)["part"], F.lit("")))), "")
     return df.withColumn("html", F.when(F.col("parts").isNotNull(), filled).otherwise(F.col("html"))).drop("parts")
 
 
-def frame_docs(pages: DataFrame) -> DataFrame:
-    """The frames of all pages with the documents that can be put in."""
-    return join_frames(page_frames(pages), pages)
+def frame_docs(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The frames of all pages with the documents that can be put in, taken from ``docs`` or the pages themselves."""
+    return join_frames(page_frames(pages), pages if docs is None else docs)

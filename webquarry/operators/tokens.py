@@ -58,12 +58,12 @@ def split_html(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(M.TOKEN), F.lit(0))
 
 
-def html_tokens(pages: DataFrame) -> DataFrame:
-    """One row per comment, doctype, script, style, tag or text run, in document order."""
-    rows = pages.select("page_id", F.posexplode(split_html(F.col("html"))).alias("pos", "tok"))
+def html_tokens(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per comment, doctype, script, style, tag or text run, in document order; ``keep`` are columns of the page."""
+    rows = pages.select("page_id", *keep, F.posexplode(split_html(F.col("html"))).alias("pos", "tok"))
     rows = rows.withColumn("tag", M.tag_name(F.col("tok")))
     return rows.withColumn("kind", _token_kind(F.col("tok"), F.col("tag"))).select(
-        "page_id", "pos", "kind", "tag", "tok"
+        "page_id", "pos", "kind", "tag", "tok", *keep
     )
 
 
@@ -72,13 +72,10 @@ def element_count(html: Column) -> Column:
     return F.regexp_count(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), F.lit("<[a-zA-Z]"))
 
 
-def guard_max_elements(pages: DataFrame, limit: int) -> DataFrame:
-    """Add ``error``: set on pages with more elements than ``limit`` (0 = no limit)."""
-    if limit <= 0:
-        return pages.withColumn("error", F.lit(None).cast("string"))
-    n = element_count(F.col("html"))
-    text = F.format_string("Aborting parsing document; %d elements found", n.cast("long"))
-    return pages.withColumn("error", F.when(n > limit, text))
+def size_report(pages: DataFrame, limit: int) -> DataFrame:
+    """Add ``n_elements`` and ``large``: more elements than ``limit`` (0 = no limit). No page fails by its size."""
+    n = element_count(F.col("html")).cast("long")
+    return pages.withColumn("n_elements", n).withColumn("large", (F.col("n_elements") > limit) & F.lit(limit > 0))
 
 
 def tag_attrs(tokens: DataFrame) -> DataFrame:
@@ -360,7 +357,7 @@ def reopen_inline(df: DataFrame, by=PAGE) -> DataFrame:
     """Open unclosed bold and italic elements again in every later block, as a browser does.
 
     The closes that ``balance`` put in have no source. From each on, the inline content of a
-    block is wrapped once per unclosed element, three times at most for one tag.
+    block is wrapped once per unclosed element.
     """
     run, element = running(by, "ord"), F.col("kind").isin("open", "close", "void")
     edge = F.coalesce(element & F.col("tag").isin(C.ENDS_PARAGRAPH), F.lit(False))
@@ -375,8 +372,8 @@ def reopen_inline(df: DataFrame, by=PAGE) -> DataFrame:
     first = F.col("_content") & ~F.coalesce(F.col("_prev") == F.col("_tries"), F.lit(False))
     last = F.col("_content") & ~F.coalesce(F.col("_later") == F.col("_tries"), F.lit(False))
     df = df.withColumns({"_first": first, "_last": last}).withColumns({
-        f"_n_{t}": F.last(F.when(F.col("_first"), F.least(F.col(f"_n_{t}") - F.when(
-            implied & (F.col("tag") == t), 1).otherwise(0), F.lit(3))), ignorenulls=True).over(run)
+        f"_n_{t}": F.last(F.when(F.col("_first"), F.col(f"_n_{t}") - F.when(
+            implied & (F.col("tag") == t), 1).otherwise(0)), ignorenulls=True).over(run)
         for t in _REOPENED
     })
     fields = [c for c in df.columns if not c.startswith("_") and c not in by and c != "ord"]
@@ -385,13 +382,14 @@ def reopen_inline(df: DataFrame, by=PAGE) -> DataFrame:
         return F.struct(F.col("ord").alias("at"), F.lit(sub).alias("sub"), *[
             new.get(c, F.col(c) if not new else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in fields])
 
-    def marks(kind, tag, base):
-        made = F.array(*[row(base + i, kind=F.lit(kind), tag=F.lit(tag), tok=F.lit(f"<{tag}>")) for i in range(3)])
-        return F.slice(made, F.lit(1), F.coalesce(F.col(f"_n_{tag}"), F.lit(0)).cast("int"))
+    def marks(kind, tag, sub):
+        # equal rows, so their order among themselves does not matter
+        return F.array_repeat(row(sub, kind=F.lit(kind), tag=F.lit(tag), tok=F.lit(f"<{tag}>")),
+                              F.coalesce(F.col(f"_n_{tag}"), F.lit(0)).cast("int"))
 
     nothing = F.slice(F.array(row(0)), 1, 0)
-    opens = F.concat(*[marks("open", t, -30 + 3 * i) for i, t in enumerate(_REOPENED)])
-    closes = F.concat(*[marks("close", t, 30 - 3 * i) for i, t in enumerate(_REOPENED)])
+    opens = F.concat(*[marks("open", t, -9 + i) for i, t in enumerate(_REOPENED)])
+    closes = F.concat(*[marks("close", t, 9 - i) for i, t in enumerate(_REOPENED)])
     rows = F.concat(F.when(F.col("_first"), opens).otherwise(nothing), F.array(row(0)),
                     F.when(F.col("_last"), closes).otherwise(nothing))
     df = df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")

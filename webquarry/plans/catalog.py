@@ -158,10 +158,12 @@ FRAMES_SQL = r"""
     || ' is a text about the region that is long enough to be put into the page~~Inside ' || n_nationkey
     || ' there is a text that is long enough to be kept.~~\[Embedded content: [Map ' || n_nationkey
     || '](https://maps.example.org/' || n_nationkey || ')\]~~'
-    || '\[Embedded content: Embedded content\]~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
+    || 'too short~~After~~---~> **Note:** This page contains 1 cross-origin iframe(s) that could not be '
     || 'accessed due to browser security policies. Some content may be missing. Links to these iframes have been preserved '
     || 'where possible.~', '~', chr(10)) AS markdown
   FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT CAST(r_regionkey + 1000 AS BIGINT), '# x' || chr(10) || chr(10) || replace(r_name, '_', '\_')
+    || ' is a text about the region that is long enough to be put into the page' FROM region
 """
 
 WARNINGS_SQL = """

@@ -10,7 +10,7 @@ from webquarry.functions import urls as U
 from webquarry.operators.frames import frame_docs, place_frames
 from webquarry.operators.prune import clean
 from webquarry.operators.render import render
-from webquarry.operators.tokens import guard_max_elements, page_nodes
+from webquarry.operators.tokens import page_nodes
 from webquarry.options import Options
 from webquarry.plans.article import article_markdown
 from webquarry.plans.full_page import full_page_markdown
@@ -18,46 +18,41 @@ from webquarry.sources.pages import scope_fragment
 
 
 def convert(pages: DataFrame, opt: Options = Options(), fragments: DataFrame | None = None) -> DataFrame:
-    """Convert pages to Markdown.
+    """Convert pages to Markdown, with the documents of their frames: in place, or at the end of an article.
 
-    ``page_id, url, title, success, markdown, token_count, error_code, error_detail``. Pages
-    that cannot be converted stay as rows with ``success = false``.
+    ``page_id, url, title, success, markdown, token_count, error_code, error_detail``, and ``ord`` if the pages
+    have one. Pages that cannot be converted stay as rows with ``success = false``.
     """
+    given = pages
     if opt.scope == "selection":
         if fragments is None:
             raise ValueError("the selection scope needs fragments(page_id, fragment_html)")
         pages = scope_fragment(pages, fragments)
     else:
         pages = pages.withColumn("error", F.lit(None).cast("string"))
-    if opt.max_elements > 0:
-        guarded = guard_max_elements(pages.drop("error"), opt.max_elements).select("page_id", F.col("error").alias("e"))
-        pages = pages.join(guarded, "page_id").withColumn("error", F.coalesce("error", "e")).drop("e")
     bad = pages.filter(F.col("error").isNotNull())
-    good = pages.filter(F.col("error").isNull()).drop("error")
-    if opt.scope == "mainContent":
-        done = article_markdown(good, opt)
-    else:
-        done = full_page_markdown(good, opt)
+    good = pages.filter(F.col("error").isNull()).select("page_id", "url", "html")
+    done = _converted(good, given, opt)
     failed = bad.select(
         "page_id", "url", F.lit(None).cast("string").alias("title"), F.lit(False).alias("success"),
         F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("bigint").alias("token_count"),
         X.classify_error(F.col("error")).alias("error_code"), F.col("error").alias("error_detail"))
-    return done.unionByName(failed)
-
+    done = done.unionByName(failed)
+    return done.join(given.select("page_id", "ord"), "page_id") if "ord" in given.columns else done
 
-def convert_with_frames(pages: DataFrame, opt: Options = Options(scope="fullPage")) -> DataFrame:
-    """Convert pages with the documents of their frames: in place, or at the end of an article.
 
-    Frames need a join of the pages with themselves by address, so this is a job of its own.
-    """
-    placed = place_frames(pages, frame_docs(pages), opt)
+def _converted(pages: DataFrame, given: DataFrame, opt: Options) -> DataFrame:
+    # only pages with a frame are joined with anything before they are taken apart
+    framed = F.coalesce(F.col("html").rlike(r"(?i)<iframe\b"), F.lit(False))
+    placed = place_frames(pages.filter(framed), frame_docs(pages.filter(framed), given), opt)
+    plain = pages.filter(~framed)
     if opt.scope != "mainContent":
         notes = placed.select("page_id", F.lit("").alias("appended"), "frame_count")
-        return full_page_markdown(placed.drop("frame_count"), opt, notes)
+        return full_page_markdown(plain.unionByName(placed.drop("frame_count")), opt, notes)
     ends = placed.filter("appended <> ''").select("page_id", "url", F.col("appended").alias("html"))
     more = render(clean(page_nodes(ends), opt), opt).select("page_id", F.col("markdown").alias("appended"))
     notes = placed.select("page_id", "frame_count").join(more, "page_id", "left")
-    return article_markdown(placed.drop("frame_count", "appended"), opt, notes)
+    return article_markdown(plain.unionByName(placed.drop("frame_count", "appended")), opt, notes)
 
 
 def flag_lazy(pages: DataFrame, hosts=None) -> DataFrame:

@@ -22,9 +22,9 @@ from webquarry.operators.score import score_candidates, with_features
 from webquarry.options import Options
 from webquarry.plans import catalog
 from webquarry.plans.article import article_markdown
-from webquarry.plans.convert import convert_with_frames, flag_lazy
+from webquarry.plans.convert import convert, flag_lazy
 from webquarry.plans.full_page import full_page_markdown
-from webquarry.sources.pages import read_pages, select_batch
+from webquarry.sources.pages import read_pages
 from webquarry.streaming.convert import count_stream, read_page_stream
 
 QUERIES, ORACLES = {}, {}
@@ -211,8 +211,7 @@ def node_features(spark, sf):
   FROM links GROUP BY ALL
 """)
 def page_links(spark, sf):
-    t = T.html_tokens(pages(spark, sf)).filter("kind = 'open' AND tag = 'a'")
-    t = t.join(pages(spark, sf).select("page_id", "url"), "page_id")
+    t = T.html_tokens(pages(spark, sf), ("url",)).filter("kind = 'open' AND tag = 'a'")
     href = M.own("href")
     link = U.absolutize(X.decode_entities(href), F.col("url"))
     return t.groupBy("page_id", href.alias("href"), link.alias("link")).agg(F.count("*").alias("n"))
@@ -258,22 +257,28 @@ def page_titles(spark, sf):
 """)
 def title_similarity(spark, sf):
     c = table(spark, sf, "conversations")
-    a, b = c.alias("a"), c.alias("b")
-    both = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
-    return both.select("a.conv_id", "a.turn", F.round(
-        X.text_similarity(F.col("a.text"), F.col("b.text")), 9).alias("similarity"))
+    turns = T.win(["conv_id"], "turn")
+    both = c.withColumns({"next": F.lead("text").over(turns), "follows": F.lead("turn").over(turns)})
+    return both.filter("follows = turn + 1").select("conv_id", "turn", F.round(
+        X.text_similarity(F.col("text"), F.col("next")), 9).alias("similarity"))
+
+
+# every other page gets an address of another kind
+_MIXED = """CASE page_id % 4 WHEN 1 THEN replace(url, 'https://', 'http://') WHEN 2 THEN 'chrome://settings/' || page_id
+  WHEN 3 THEN 'HTTPS://' || substr(url, 9) ELSE url END"""
 
 
 @query(f"""
-  SELECT page_id, {_HOST} AS host, regexp_matches({_HOST}, '(^|\\.)example\\.(com|org)$') AS is_lazy,
-    CASE WHEN regexp_matches({_HOST}, '(^|\\.)example\\.com$') THEN 'host:example.com'
-         WHEN regexp_matches({_HOST}, '(^|\\.)example\\.org$') THEN 'host:example.org' END AS reason,
+  WITH pages AS (SELECT page_id, {_MIXED} AS url FROM pages)
+  SELECT page_id, {_HOST.replace('[a-z]+', '[a-zA-Z]+')} AS host, regexp_matches({_HOST.replace('[a-z]+', '[a-zA-Z]+')}, '(^|\\.)example\\.(com|org)$') AS is_lazy,
+    CASE WHEN regexp_matches({_HOST.replace('[a-z]+', '[a-zA-Z]+')}, '(^|\\.)example\\.com$') THEN 'host:example.com'
+         WHEN regexp_matches({_HOST.replace('[a-z]+', '[a-zA-Z]+')}, '(^|\\.)example\\.org$') THEN 'host:example.org' END AS reason,
     NOT regexp_matches(url, '^(chrome://|edge://|about:|chrome-extension://|moz-extension://)') AS convertible,
     regexp_matches(url, '(?i)^https?://') AS is_http
   FROM pages
 """)
 def page_hosts(spark, sf):
-    lazy = flag_lazy(select_batch(pages(spark, sf)), ["example.com", "example.org"])
+    lazy = flag_lazy(pages(spark, sf).withColumn("url", F.expr(_MIXED)), ["example.com", "example.org"])
     url = F.col("url")
     return lazy.select("page_id", U.hostname(url).alias("host"), "is_lazy", "reason",
                        U.is_convertible_url(url).alias("convertible"), U.is_http_url(url).alias("is_http"))
@@ -303,7 +308,7 @@ _BASE = (
 """)
 def file_names(spark, sf):
     t = pages(spark, sf).select("page_id", D.document_title(F.col("html")).alias("title"))
-    return B.unique_names(t, step=100).select("page_id", "file_name")
+    return B.unique_names(t).select("page_id", "file_name")
 
 
 # ---------------------------------------------------------------- tokens and budgets
@@ -346,7 +351,7 @@ ORACLES["token_heuristics"] = f"""
 
 
 @query("""
-  WITH n AS (SELECT doc_id, n_chars * 40 AS n FROM documents)
+  WITH n AS (SELECT doc_id, length(text) * 40 AS n FROM documents)
   SELECT doc_id, format('{:,}', n) || ' tokens' AS plain,
     format('{:,}', n) || ' / 8,192 tokens (' || CAST(round(n::DOUBLE / 8192 * 100) AS BIGINT) || '%)' AS of_limit,
     CASE WHEN n >= 1000000 THEN printf('%.1f', n / 1000000.0::DOUBLE) || 'M'
@@ -354,7 +359,7 @@ ORACLES["token_heuristics"] = f"""
   FROM n
 """)
 def limit_reports(spark, sf):
-    n = F.col("n_chars") * 40
+    n = F.length("text").cast("bigint") * 40
     return table(spark, sf, "documents").select(
         "doc_id", X.format_tokens(n).alias("plain"), X.format_tokens(n, 8192).alias("of_limit"),
         X.format_limit(n).alias("short"))
@@ -457,12 +462,34 @@ def node_scores(spark, sf):
 
 
 @query(f"""
-  SELECT conv_id, turn // 50 AS part, count(text) AS n,
-    string_agg(text, {_GAP} || '---' || {_GAP} ORDER BY turn) AS markdown
-  FROM conversations GROUP BY conv_id, turn // 50
+  WITH r AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS part
+    FROM conversations WHERE length(text) >= 200)
+  SELECT conv_id, part, count(*) AS n, string_agg(text, {_GAP} || '---' || {_GAP} ORDER BY turn) AS markdown,
+    CAST(NULL AS VARCHAR) AS error FROM r GROUP BY conv_id, part
+  UNION ALL SELECT conv_id, 0, 0, NULL, '{C.NOTHING_CONVERTED}' FROM conversations GROUP BY conv_id HAVING max(length(text)) < 200
 """)
 def merged_bundle(spark, sf):
-    return B.merge_markdown(table(spark, sf, "conversations"), "conv_id", "turn", "text", per_part=50)
+    c = table(spark, sf, "conversations").withColumn("success", F.length("text") >= 200)
+    return B.merge_markdown(c, "conv_id", "turn", "text", per_part=2)
+
+
+# titles that end in numbers, some of them the stem of others: q, q_1, q_1_1 …
+_CLASH = "'q' || repeat('_1', CAST((page_id * 7) % 4 AS INT)) || CASE WHEN page_id % 5 = 0 THEN '_' || (page_id % 17 + 1) ELSE '' END"
+
+
+@query(f"""
+  WITH RECURSIVE t AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, {_CLASH} AS base FROM pages),
+  go AS (
+    SELECT CAST(1 AS BIGINT) AS i, page_id, base AS name, [base] AS used FROM t WHERE i = 1
+    UNION ALL
+    SELECT t.i, t.page_id, x.name, list_append(go.used, x.name) FROM go JOIN t ON t.i = go.i + 1, LATERAL (
+      SELECT CASE WHEN list_contains(go.used, t.base) THEN t.base || '_' || list_min(list_filter(range(1, len(go.used) + 2),
+        lambda n: NOT list_contains(go.used, t.base || '_' || n))) ELSE t.base END AS name) x)
+  SELECT page_id, name || '.md' AS file_name FROM go
+""")
+def clashing_names(spark, sf):
+    t = pages(spark, sf).select("page_id", F.expr(_CLASH.replace("CAST((page_id * 7) % 4 AS INT)", "int((page_id * 7) % 4)")).alias("title"))
+    return B.unique_names(t).select("page_id", "file_name")
 
 
 @query(f"""
@@ -523,8 +550,8 @@ def supplier_articles(spark, sf):
 
 @query(catalog.FRAMES_SQL)
 def framed_pages(spark, sf):
-    r = convert_with_frames(catalog.framed_pages(spark, sf), Options(scope="fullPage", metadata=False))
-    return r.filter("url LIKE '%/nation/%'").select("page_id", "markdown")
+    r = convert(catalog.framed_pages(spark, sf), Options(scope="fullPage", metadata=False))
+    return r.select("page_id", "markdown")
 
 
 @query(catalog.WARNINGS_SQL)
@@ -539,9 +566,8 @@ def frame_warnings(spark, sf):
 """)
 def titles_in_headings(spark, sf):
     html = F.col("html")
-    t = pages(spark, sf).select("page_id", D.document_title(html).alias("title"))
-    h = pages(spark, sf).select("page_id", F.explode(D.heading_texts(html)).alias("heading"))
-    return t.join(h.select("page_id", X.trim_ws(F.col("heading")).alias("title")), ["page_id", "title"], "left_semi")
+    t = pages(spark, sf).select("page_id", D.document_title(html).alias("title"), D.heading_texts(html).alias("hs"))
+    return t.filter(F.exists("hs", lambda h: X.trim_ws(h) == F.col("title"))).drop("hs")
 
 
 @query("""
@@ -554,13 +580,27 @@ def list_ancestors(spark, sf):
     return a.filter("tag = 'li'").groupBy("depth", "ancestor").agg(F.count("*").alias("n"))
 
 
-@query()
+# the walk along a text, one token a step; ranks are lengths, so the longest known string counts
+@query("""
+  WITH RECURSIVE words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark) WHERE w <> ''),
+  v AS (SELECT hex(w) AS b FROM words UNION SELECT hex(' ' || w) FROM words),
+  sizes AS (SELECT DISTINCT length(b) AS l FROM v),
+  t AS (SELECT item_id, hex(text) AS h FROM benchmark),
+  spots AS (SELECT item_id, h, unnest(range(0, length(h) // 2)) AS place FROM t),
+  best AS (SELECT item_id, place, max(l) // 2 AS jump FROM (
+      SELECT item_id, place, l, substr(h, 2 * place + 1, l) AS b FROM spots, sizes WHERE 2 * place + l <= length(h)) JOIN v USING (b)
+    GROUP BY item_id, place),
+  walk AS (
+    SELECT item_id, CAST(0 AS BIGINT) AS place, 0 AS n, length(h) // 2 AS size FROM t
+    UNION ALL
+    SELECT walk.item_id, walk.place + coalesce(jump, 1), n + 1, size FROM walk LEFT JOIN best USING (item_id, place) WHERE walk.place < size)
+  SELECT item_id, CAST(max(n) AS BIGINT) AS token_count FROM walk GROUP BY item_id
+""")
 def vocabulary_counts(spark, sf):
     """Counts by a vocabulary made of the words of the texts, with and without a space."""
-    words = F.split(F.lower("text"), "[^a-z]+")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     pieces = F.concat(words, F.transform(words, lambda w: F.concat(F.lit(" "), w)))
-    raw = table(spark, sf, "benchmark").select(F.explode(pieces).alias("w")).filter(
-        "length(trim(w)) BETWEEN 1 AND 12").distinct()
+    raw = table(spark, sf, "benchmark").select(F.explode(pieces).alias("w")).distinct()
     vocab = raw.select(
         F.lit("words").alias("encoding"), F.hex(F.encode("w", "UTF-8")).alias("bytes"),
         F.octet_length("w").alias("n_bytes"), F.octet_length("w").cast("bigint").alias("rank"))
@@ -581,10 +621,10 @@ def streamed_counts(spark, sf):
 
 @query(f"""
   WITH e AS (SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n FROM pages)
-  SELECT page_id, CASE WHEN n > 40 THEN 'Aborting parsing document; ' || n || ' elements found' END AS error FROM e
+  SELECT page_id, CAST(n AS BIGINT) AS n_elements, n > 40 AS large FROM e
 """)
 def size_guard(spark, sf):
-    return T.guard_max_elements(pages(spark, sf), 40).select("page_id", "error")
+    return T.size_report(pages(spark, sf), 40).select("page_id", "n_elements", "large")
 
 
 @query(f"""

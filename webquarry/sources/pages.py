@@ -41,18 +41,18 @@ def vocab_table(raw: DataFrame) -> DataFrame:
     hexed = F.array_join(F.transform(parts, lambda b: F.lpad(F.hex(b.cast("int")), 2, "0")), "")
     return raw.select(
         "encoding", hexed.alias("bytes"), F.size(parts).alias("n_bytes"), F.col("rank").cast("bigint")
-    ).filter(F.col("n_bytes") <= 32).groupBy("encoding", "bytes", "n_bytes").agg(F.max("rank").alias("rank"))
+    ).groupBy("encoding", "bytes", "n_bytes").agg(F.max("rank").alias("rank"))
 
 
 def scope_fragment(pages: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Convert only a supplied fragment of each page; ``error`` where it is blank.
+    """Convert only a supplied fragment of each page; ``error`` where it is blank or there is none.
 
     ``fragments(page_id, fragment_html)``. Title and address stay those of the page.
     """
     from webquarry.functions import constants as C
     from webquarry.functions import text as X
 
-    both = pages.join(fragments, "page_id")
+    both = pages.join(fragments, "page_id", "left")
     head = F.regexp_extract("html", r"(?is)(<title\b[^>]*>.*?</title\s*>)", 1)
     blank = X.trim_ws(F.regexp_replace("fragment_html", "<[^>]*>", "")) == ""
     html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"),

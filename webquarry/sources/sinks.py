@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webquarry.functions import constants as C
 from webquarry.operators.batch import export_manifest, unique_names
 
 
@@ -27,10 +28,13 @@ def write_markdown_files(results: DataFrame, path: str, order: str = "page_id")
 def write_merged(merged: DataFrame, path: str, group: str) -> None:
     """Merged text of each group as text files in order: one folder per group, parts by name.
 
-    Range partitions keep the order across files, so no task needs a whole group.
+    Range partitions keep the order across files, so no task needs a whole group. The separator stands
+    before every part but the first, and the text ends with a line break.
     """
-    out = merged.repartitionByRange(F.col(group), F.col("part")).sortWithinPartitions(group, "part")
-    out.select(group, F.concat("markdown", F.lit("\n\n---\n")).alias("value")).write.mode(
+    out = merged.filter("error IS NULL").repartitionByRange(F.col(group), F.col("part")).sortWithinPartitions(group, "part")
+    # each part ends its line, and that is the first break of the separator
+    between = F.when(F.col("part") > 0, F.lit(C.MERGE_SEPARATOR[1:])).otherwise(F.lit(""))
+    out.select(group, F.concat(between, "markdown").alias("value")).write.mode(
         "overwrite").option("lineSep", "\n").partitionBy(group).text(path)
 
 
