@@ -129,11 +129,11 @@ _OUTSIDE = r"(?i)^(<!|<\?|</[^a-zA-Z]|</?(html|head|body)\b)"
 def spread(pages: DataFrame, by=PAGE) -> DataFrame:
     """Spread the pages by key, before anything is exploded.
 
-    Without a number of partitions, so that adaptive execution sizes them: a few for a small
-    table, ``spark.sql.shuffle.partitions`` of them (each up to the advisory size) for a large
-    one. Pages that are bucketed by the key already need no exchange at all.
+    With the number of partitions of the session: left to adaptive execution, which goes by bytes, a table of
+    a few megabytes became one task, although a page costs far more time than its bytes tell. Pages that
+    are bucketed by the key already need no exchange at all.
     """
-    return pages.repartition(*by)
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 # what a row of the stream carries besides its place
