@@ -24,8 +24,9 @@ from webquarry.plans import catalog
 from webquarry.plans.article import article_markdown
 from webquarry.plans.convert import convert, flag_lazy
 from webquarry.plans.full_page import full_page_markdown
-from webquarry.sources.pages import read_pages
-from webquarry.streaming.convert import count_stream, read_page_stream
+from webquarry.sources.pages import read_pages, select_batch
+from webquarry.sources.sinks import write_export
+from webquarry.streaming.convert import convert_stream, count_stream, read_page_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -634,3 +635,75 @@ def size_guard(spark, sf):
 def export_names(spark, sf):
     c = table(spark, sf, "conversations").select((F.length("text") >= 200).alias("success"))
     return B.export_manifest(c, "2026-01-31")
+
+
+# ---------------------------------------------------------------- options, sinks and streams
+
+
+@query("""
+  WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, regexp_extract(url, '^([^?#]*/)', 1) AS dir FROM pages)
+  SELECT page_id, dir || 'small/' || page_id || '.png 480w, ' || host || '/large.png 2x' AS srcset FROM u
+""")
+def srcset_links(spark, sf):
+    given = F.concat(F.lit("small/"), F.col("page_id"), F.lit(".png 480w, /large.png 2x"))
+    return pages(spark, sf).select("page_id", U.absolutize_srcset(given, F.col("url")).alias("srcset"))
+
+
+@query(f"""
+  SELECT page_id, {_MIXED} AS url FROM pages
+  WHERE page_id % 3 = 0 AND NOT regexp_matches({_MIXED}, '^(chrome://|edge://|about:|chrome-extension://|moz-extension://)')
+""")
+def kept_batch(spark, sf):
+    """Pages that a list names twice, without those of the browser."""
+    mixed = pages(spark, sf).withColumn("url", F.expr(_MIXED))
+    keep = pages(spark, sf).filter("page_id % 3 = 0").select("page_id")
+    return select_batch(mixed, keep.unionAll(keep)).select("page_id", "url")
+
+
+# ticks in front, and one in the middle: the mark is the shortest that differs from both
+@query("""
+  WITH t AS (SELECT doc_id, doc_id % 4 AS k, repeat('`', CAST(doc_id % 4 AS INT)) || regexp_replace(text, '\\r?\\n|\\r', ' ', 'g') || '`e' AS flat FROM documents),
+  m AS (SELECT *, repeat('`', CASE WHEN k = 2 THEN 3 ELSE 2 END) AS mark, CASE WHEN k > 0 THEN ' ' ELSE '' END AS pad FROM t)
+  SELECT doc_id, mark || pad || flat || pad || mark AS code, CASE WHEN k = 3 THEN 4 ELSE 3 END AS fence FROM m
+""")
+def inline_codes(spark, sf):
+    ticks = F.repeat(F.lit("`"), (F.col("doc_id") % 4).cast("int"))
+    text = F.concat(ticks, F.col("text"), F.lit("`e"))
+    return table(spark, sf, "documents").select("doc_id", X.inline_code(text).alias("code"), X.fence_size(text).alias("fence"))
+
+
+@query("""
+  SELECT source || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.md' AS file_name, text AS content
+  FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents WHERE length(text) >= 200)
+""")
+def exported_files(spark, sf):
+    """A batch of results written as files with their manifest, and read back."""
+    d = table(spark, sf, "documents")
+    results = d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.col("text").alias("markdown"),
+                       (F.length("text") >= 200).alias("success"))
+    folder = work_folder(spark)
+    write_export(results, folder, "2026-01-31")
+    return spark.read.parquet(f"{folder}/files").select("file_name", "content")
+
+
+@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, markdown, token_count FROM ({'WITH ' + _PARTS + _FULL_PAGE})")
+def streamed_pages(spark, sf):
+    """The pages as a stream: each batch converted by the batch job, read back from its folders."""
+    folder = work_folder(spark)
+    stream = read_page_stream(spark, sf, "pages.parquet")
+    convert_stream(stream, f"{folder}/out", f"{folder}/state", Options(scope="fullPage")).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("page_id", "markdown", "token_count")
+
+
+# the bold first words of every page but each fifth, which has no selection
+@query(f"""
+  SELECT page_id, url, page_id * 2 AS ord, page_id % 5 <> 0 AS success, CASE WHEN page_id % 5 <> 0 THEN '# ' || title || {_GAP} || 'Picked **'
+      || page_id || '** here.' || {_GAP} || '---' || {_NL} || 'Source: [' || title || '](' || url || ')' END AS markdown,
+    CASE WHEN page_id % 5 = 0 THEN 'NO_SELECTION' END AS error_code
+  FROM (SELECT page_id, url, {_TITLE} AS title FROM pages)
+""")
+def selected_fragments(spark, sf):
+    p = pages(spark, sf).withColumn("ord", F.col("page_id") * 2)
+    text = F.concat(F.lit("<p>Picked <b>"), F.col("page_id"), F.lit("</b> here.</p>"))
+    picked = p.filter("page_id % 5 <> 0").select("page_id", text.alias("fragment_html"))
+    return convert(p, Options(scope="selection"), picked).select("page_id", "url", "ord", "success", "markdown", "error_code")
