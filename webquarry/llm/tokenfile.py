@@ -13,8 +13,11 @@ other, by size and sum; an empty table gives an empty file; other columns are no
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,8 +29,8 @@ END = 1
 #: Documents of a shard, about.
 SHARD = 8192
 STRIPE = 16 << 20
-#: Words that a worker keeps with their ids.
-MEMO = 400_000
+#: Words that a worker keeps with their ids, in each of two generations.
+MEMO = 350_000
 
 
 def bounds(docs: DataFrame, doc_id: str, shard: int = SHARD) -> list:
@@ -40,41 +43,99 @@ def bounds(docs: DataFrame, doc_id: str, shard: int = SHARD) -> list:
     return sorted(set(docs.agg(F.percentile_approx(doc_id, at, 100 * shards)).first()[0]))
 
 
+class _Words(dict):
+    """Ids of words, as little-endian bytes, by the words' bytes.
+
+    Of two generations: when the young one is full it becomes the old one, from which words in use come back, so no more than twice
+    MEMO words are kept.
+
+    New words of letters only are encoded in one go, a space between them: each is one piece of the tokenizer's pattern, and the last
+    token of a piece is one with the vocabulary's end mark. All other words are encoded one by one."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.old = tokenizer, {}
+        model = json.loads(tokenizer.to_str())["model"]
+        self.mark = model["end_of_word_suffix"]
+        self.last = np.zeros(max(model["vocab"].values()) + 1000, bool)
+        self.last[[i for t, i in model["vocab"].items() if t.endswith(self.mark)]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) + len(words) > MEMO:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for w in words:
+            if w not in self:
+                if w in self.old:
+                    self[w] = self.old[w]
+                else:
+                    new.append(w)
+        texts = [w.decode() for w in new]
+        plain = [t.isalpha() and t.lower().isalpha() for t in texts]
+        joined, own = [k for k, p in enumerate(plain) if p], [k for k, p in enumerate(plain) if not p]
+        parts = [joined[at : at + 500] for at in range(0, len(joined), 500)]
+        lines = [" ".join([texts[k] for k in part]) for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                data, stops = ids.tobytes(), (4 * ends).tolist()
+                for k, a, b in zip(part, [0, *stops], stops):
+                    self[new[k]] = data[a:b]
+            else:
+                own += part
+        for at in range(0, len(own), 1000):
+            part = own[at : at + 1000]
+            for k, found in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                self[new[k]] = np.array(found.ids, "<u4").tobytes()
+
+
+#: Prose marks after a letter (of ASCII or Latin-1) or digit, at the end of a word: a piece of their own in the tokenizer's pattern.
+_MARKS = re.compile(rb"[.,;:!?](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?]*(?= |\Z)")
+#: What a Python worker has learnt, by the tokenizer's text: the next task goes on with it.
+_KEPT: dict[str, _Words] = {}
+
+
+def _words(text: str | None) -> Iterator[list[bytes]]:
+    """Words of a text in lower case (A-Z, as the tokenizer does), marks at their ends apart, a megabyte at a time."""
+    for chunk in common.word_chunks((text or "").encode().lower()):
+        yield _MARKS.sub(rb" \g<0>", b" ".join(chunk)).split()
+
+
 def encode(docs: DataFrame, path: str, edges: list, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """shard, doc_id, n_tokens, ids, crc: the whole texts by a tokenizer of the tokenizers library, the end id after each.
 
-    White space between words has no ids in the vocabulary, so words are encoded once and looked up from then on."""
+    White space has no ids in the vocabulary and separates pieces, so words are encoded once and looked up from then on."""
     with open(path) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        import re
+        import os
 
-        import pandas as pd
+        import pyarrow as pa
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, memo, split = Tokenizer.from_str(shared.value), {}, re.compile(common.WORD).findall
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                texts = [split(t or "") for t in part["text"]]
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = list({w for words in texts for w in words if w not in memo})
-                for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    memo[word] = found.ids
-                ids = []
-                for words in texts:
-                    own = []
-                    for w in words:
-                        own += memo[w]
-                    own.append(end)
-                    ids.append(np.array(own, np.int32))
-                shards = np.searchsorted(edges, part["doc_id"].fillna(-np.inf).to_numpy(float), "left") if edges else np.zeros(len(part), int)
-                yield pd.DataFrame({"shard": shards.astype(np.int32), "doc_id": part["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids, "crc": [zlib.crc32(i.astype("<u4")) for i in ids]})
+        if shared.value not in _KEPT:
+            _KEPT.clear()
+            _KEPT[shared.value] = _Words(Tokenizer.from_str(shared.value))
+        memo, stop = _KEPT[shared.value], np.array([end], "<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                split = [[w for chunk in _words(t) for w in chunk] for t in part.column("text").to_pylist()]
+                memo.learn({w for words in split for w in words})
+                ids = [b"".join([*map(memo.__getitem__, words), stop]) for words in split]
+                sizes = np.array([len(i) // 4 for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                known = part.column("doc_id")
+                shards = np.searchsorted(edges, known.fill_null(-(2**63)).to_numpy(), "left") if edges else np.zeros(len(ids), int)
+                arrays = [pa.array(shards.astype(np.int32)), known, pa.array(sizes), lists, pa.array([zlib.crc32(i) for i in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "n_tokens", "ids", "crc"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, "shard int, doc_id long, n_tokens long, ids array<int>, crc long")
+    return slim.mapInArrow(run, "shard int, doc_id long, n_tokens long, ids array<int>, crc long")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> None:
