@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(target).cast("int")).alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)))
-    picked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(known.where(draw), "__id")
+    picked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(known.where(draw)), "__id")  # about `sample` ids
 
     def run(batches):
         import pandas as pd
