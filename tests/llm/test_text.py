@@ -116,6 +116,17 @@ def test_texts_without_language(spark):
     assert {r[1] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_are_learnt(spark):
+    short = [(i, f"the cat sat on the mat and the dog {i}", "en") for i in range(20)]
+    long = [(100 + i, "le chat est sur le tapis et le chien dort " * 600 + str(i), "fr") for i in range(20)]
+    docs = spark.createDataFrame(short + long, "doc_id long, text string, lang string")
+    assert {(r["doc_id"] >= 100, r["lang_pred"]) for r in langid.identify(docs, langid.learnt(docs)).collect()} == {(False, "en"), (True, "fr")}
+    only = docs.where("lang = 'fr'")
+    assert langid.learnt(only).languages == ["fr"] and langid.keep_identified(only).count() == 20
+    unlabelled = spark.createDataFrame([(1, "le chat", None), (2, "12 !", None), (3, None, None)], docs.schema)
+    assert [tuple(r) for r in langid.keep_identified(unlabelled).collect()] == [(1, "le chat", None)]
+
+
 def sql_mix(rows):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")

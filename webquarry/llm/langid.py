@@ -5,10 +5,12 @@ geometric mean of their numbers of different n-grams. `landmarks` texts of the t
 regression of +1 and -1 for each language on the landmarks' features gives one column of weights a language. Scoring holds a batch of texts
 as a presence matrix over the landmarks' n-grams and takes two matrix products: presence by landmarks, kernel by weights.
 
-The fit is on the driver from a bounded sample: documents of at most `MAX_CHARS` characters, about `PER_LANGUAGE` of each language, picked by
-the hash of their id; landmarks are the first of them by that hash. Scoring covers every whole text.
+The fit is on the driver from a bounded sample: about `PER_LANGUAGE` documents of each language, of any length, picked by the hash of their id;
+landmarks are the first of them by that hash. Tasks turn the picked texts into their different n-grams, so that the driver holds no text.
+Scoring covers every whole text.
 
-Defined results: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be learnt; score is the
+Defined results: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be learnt (`keep_identified`
+then keeps all texts with a letter, their language as it was); score is the
 winner's regression value taken from [-1, 1] to [0, 1]; ties go to the smaller language; very long texts are read in pieces; repeated rows
 and null ids are rows like others; other columns are not looked at.
 """
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
-MAX_CHARS = 20_000
 LANDMARKS = 160
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -77,11 +78,15 @@ class Model:
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model from (text, language) rows in the order of the sample; None if there are none."""
-    rows = [(t, l) for t, l in rows if t and any(map(str.isalpha, t))]
+    return fit_grams([(ngrams(t), l) for t, l in rows if t and any(map(str.isalpha, t))], landmarks, ridge)
+
+
+def fit_grams(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """A model from (n-grams, language) rows in the order of the sample; None if there are none."""
     if not rows:
         return None
     languages = sorted({l for _, l in rows})
-    grams = [ngrams(t) for t, _ in rows]
+    grams = [g for g, _ in rows]
     # landmarks in turn from each language
     turns = {l: iter([k for k, r in enumerate(rows) if r[1] == l]) for l in languages}
     chosen: list[int] = []
@@ -109,16 +114,25 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
-def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language rows of each language, by the hash of the id: a share of each that follows from its count."""
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS) & (F.length(text) > 0))
+def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
+    """N-grams and language of about per_language rows of each language, by the hash of the id: a share of each that follows from its count."""
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("l")).count().collect()}
     rate = F.lit(0.0)
     for language, n in counts.items():
         rate = F.when(F.col(lang) == language, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    picked = known.where(draw < rate).select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d")).collect()
-    return [(r["t"], r["l"]) for r in sorted(picked, key=lambda r: (r["d"], r["l"], r["t"]))]
+
+    @F.pandas_udf("binary")
+    def present(texts):
+        import pandas as pd
+
+        return pd.Series([ngrams(t).tobytes() if any(map(str.isalpha, t)) else None for t in texts], dtype=object)
+
+    drawn = known.where(draw < rate).select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d"))
+    picked = drawn.select(present.asNondeterministic()("t").alias("g"), "l", "d").where("g IS NOT NULL").collect()
+    picked.sort(key=lambda r: (r["d"], r["l"], r["g"]))
+    return [(np.frombuffer(r["g"], np.int64), r["l"]) for r in picked]
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,12 +168,15 @@ def held_out(doc_id) -> F.Column:
 
 def learnt(docs: DataFrame) -> Model | None:
     """The model of the documents whose crc32(doc_id) mod 4 is not 2."""
-    return fit(training_rows(docs.where(~held_out("doc_id")), "doc_id", "text", "lang"))
+    return fit_grams(training_rows(docs.where(~held_out("doc_id")), "doc_id", "text", "lang"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are text of a known language; a language that was missing is filled in."""
-    found = docs.withColumn("__p", scorer(docs.sparkSession, learnt(docs))(F.col("text")))
+    """The rows of docs that are text of a known language, a language that was missing filled in; all texts with a letter when none could be learnt."""
+    model = learnt(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = docs.withColumn("__p", scorer(docs.sparkSession, model)(F.col("text")))
     kept = found.where(F.col("__p.lang_pred") != UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "__p.lang_pred")).select(docs.columns)
 
