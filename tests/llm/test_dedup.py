@@ -132,6 +132,26 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_group_stays_without_or_with_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(4000))
+    other = " ".join(f"o{i}" for i in range(50))
+    away = lambda t: (plain_fingerprint(t) ^ plain_fingerprint(base)).bit_count()
+    texts = [base, *[t for t in (f"{base} end{i}" for i in range(100)) if 1 <= away(t) <= 3][:2]]
+    assert len(texts) == 3
+    big = (1 << 60) + 1
+    cases = [
+        ([(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, other), (None, other)], [None, None]),
+        ([(3, texts[0]), (None, texts[1]), (None, texts[2]), (None, other)], [3, None]),
+        ([(3, texts[0]), (5, texts[1]), (5, other)], [3, 5]),
+        ([(5, texts[0]), (5, texts[1]), (5, texts[0])], [5]),
+        ([(big, texts[0]), (None, texts[1])], [big]),
+    ]
+    for rows, want in cases:
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r["doc_id"] for r in kept), key=lambda d: (d is None, d)) == want
+        assert sum(r["text"] in texts for r in kept) == 1
+
+
 @pytest.mark.parametrize("hot_rows", [2, substring.HOT_ROWS])
 def test_repeated_passages(spark, hot_rows, monkeypatch):
     monkeypatch.setattr(substring.repeated_spans, "__defaults__", ("doc_id", "text", 50, hot_rows))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.llm import common
@@ -52,16 +52,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint's bits as a long; with digest, the text's hash as well."""
+    more = ["digest"] if digest else []
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pdf[["doc_id"]].assign(fp=fps)
+            yield pdf[["doc_id", *more]].assign(fp=fps)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.xxhash64(F.col(text)).alias(c) for c in more])
+    return slim.mapInPandas(run, f"doc_id {kind}, {'digest long, ' if more else ''}fp long")
 
 
 def _keys(fp):
@@ -125,26 +127,35 @@ def links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFra
     return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
 
 
+def _parts(classes: DataFrame, distance: int) -> DataFrame:
+    """classes, a row for each fingerprint fp, with part: the same for all fingerprints of a component."""
+    parts = common.components(links(classes.select("fp"), distance))
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: one row for each row of docs."""
     prints = common.cut(fingerprints(docs, doc_id, text, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = common.components(links(classes.select("fp"), distance))
-    whole = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("component", "fp"))
+    whole = _parts(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), distance)
     firsts = whole.groupBy("part").agg(F.min("first").alias("component_id"))
     names = whole.select("fp", "part").join(firsts, "part").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's, all columns as they were: one document of each group stays.
-
-    Of rows that repeat one id and text, one stays; a group in which no row has an id keeps one row of each text."""
-    found = near_duplicates(docs, doc_id, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["__id"]), "left_semi").withColumn("__text", F.xxhash64(F.col(text)))
-    same = Window.partitionBy(doc_id, "__text").orderBy("__text")
-    return kept.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__text", "__n")
+    """One row of docs for each component, all columns as they were: that of the smallest id, an id before none, then of the smallest text hash.
+
+    A component's first is a minimum over its fingerprints' minima, so ids may be null or repeated; rows equal in id and text are made one
+    in the tasks, before any shuffle."""
+    # ids go through Python as strings: beside nulls, pandas would hold whole numbers as floats
+    ids, kind = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")), docs.schema[doc_id].dataType
+    prints = common.cut(fingerprints(ids, digest=True))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast(kind).alias("id"), "digest", F.coalesce("doc_id", F.lit("")).alias("name"))
+    whole = _parts(prints.groupBy("fp").agg(F.min(row).alias("first")), DISTANCE)
+    firsts = whole.groupBy("part").agg(F.min("first").alias("first"))
+    keys = {"__none": F.col(doc_id).isNull(), "__name": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__text": F.xxhash64(F.col(text))}
+    firsts = firsts.select(F.col("first.none").alias("__none"), F.col("first.name").alias("__name"), F.col("first.digest").alias("__text"))
+    return docs.withColumns(keys).dropDuplicates(list(keys)).join(firsts, list(keys), "left_semi").select(docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
