@@ -154,6 +154,26 @@ def test_mixture_is_its_sql(spark, seed):
     assert taken == sorted(r[0] for r in got if r[1] for _ in range(r[4] // r[1]))
 
 
+def test_rows_without_an_id_or_with_one_id_are_taken_one_by_one(spark):
+    schema = "doc_id long, text string, source string"
+    ten, other = "w " * 10, [(1000 + i, "w " * 10, "b") for i in range(3)]
+    for d in (None, 7):
+        docs = spark.createDataFrame([(d, ten, "a")] * 3 + other, schema).repartition(2)
+        got = [tuple(r) for r in mixture.mix(docs, weights=(1, 3)).collect() if r["doc_id"] == d]
+        assert {r[3] for r in got} == {15.0} and sorted(r[4] for r in got) == [0, 10, 10]
+        assert mixture.mixed(docs, weights=(1, 3)).where("source = 'a'").count() == 2
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 2, i]), "w " * rnd.randint(0, 9), rnd.choice([None, "a", "b", "c", "d", "e"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    plain = lambda rs: sorted(rs, key=lambda r: tuple((x is None, x or 0) for x in r))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = plain(c.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixture.OP2_SQL})").fetchall())
+    assert plain(tuple(r) for r in mixture.mix(docs).collect()) == want
+    assert mixture.mixed(docs).count() == sum(r[4] // r[1] for r in want if r[1])
+
+
 def test_mixture_of_odd_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mixture.mix(spark.createDataFrame([], schema)).count() == 0

@@ -3,10 +3,12 @@
 Method. Every source wants its weight's share of all words. A source whose target is over `max_epochs` times its own words is clamped
 there, and what it leaves is shared anew by weight among the others, until none is above. A source then repeats each of its documents
 floor(target / size) times, and one time more those documents that come first in a seeded order, up to the words that are still missing:
-the border lies where the taken words come nearest to the target. Orders are md5 of seed and id, so reruns agree.
+the border lies where the taken words come nearest to the target. Orders are md5 of seed and id, so reruns agree; documents without an id
+come last. Documents that share an id are in order of size, then of the text's hash, and the border may fall between any two of them.
 
 Scale. Only sums per source and per (source, one of 4096 seeded buckets) leave the documents, combined before the shuffle; a hot source
-is never one group. Documents are put in order only inside the one bucket of a source where the border falls.
+is never one group. Inside the one bucket of a source where the border falls, key and size are put in order, each with its number of rows.
+Only if the border falls among rows of one key and size are these numbered, by ranges of rows.
 
 Defined results: a null or empty text has no words and is taken with none; a null source is a source of its own, the last; all words
 zero: every target is zero; rows that repeat an id are documents like others; other columns are not looked at.
@@ -54,11 +56,13 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
 
 
 def _order(doc_id: str):
-    return F.md5(F.concat_ws(":", F.lit(SEED), F.col(doc_id).cast("string")))
+    """md5 of seed and id; without an id a key that comes after all others."""
+    return F.coalesce(F.md5(F.concat(F.lit(f"{SEED}:"), F.col(doc_id).cast("string")).cast("binary")), F.lit("g"))
 
 
 def _plan(slim: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """source, source_size, target, times, border: documents of a source are taken `times` times, and once more up to the border."""
+    """source, source_size, target, times, border, border_size, border_rows, split: documents of a source are taken `times` times, and once
+    more up to the border, that is below (border, border_size), and border_rows of those at it; split if these are not all."""
     bucket = F.substring("key", 1, 3)
     parts = common.cut(slim.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")))
     targets = water_fill(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
@@ -71,23 +75,52 @@ def _plan(slim: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFra
     bucketed = parts.withColumn("upto", upto).join(t, F.col("source").eqNullSafe(F.col("s")))
     edge = bucketed.where("upto > more and upto - size <= more").select(F.col("s"), F.col("bucket").alias("b"), (F.col("more") - F.col("upto") + F.col("size")).alias("left"))
     inner = slim.join(edge, F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("b")))
-    run = F.sum("size").over(Window.partitionBy("source", "b").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # rows of one key and size are one row here, with their number
+    inner = inner.groupBy("source", "b", "key", "size").agg(F.count("*").alias("n"), F.first("left").alias("left"))
+    words = F.col("size") * F.col("n")
+    run = F.sum(words).over(Window.partitionBy("source", "b").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
+    inner = inner.withColumn("room", F.col("left") - run + words)
     # a document is in if more than half of it lies before the end: then the sum comes nearest to the target
-    inner = inner.withColumn("run", run).where("run - size / 2 <= left")
-    last = inner.groupBy("source").agg(F.max("key").alias("last")).select(F.col("source").alias("ls"), "last")
-    border = edge.join(last, F.col("s").eqNullSafe(F.col("ls")), "left").select(F.col("s"), F.coalesce("last", "b").alias("border"))
+    fit = F.when(F.col("size") > 0, F.floor(F.col("room") / F.greatest("size", F.lit(1)) + 0.5)).otherwise(F.col("n"))
+    inner = inner.withColumn("rows", F.least(fit, F.col("n")).cast("long")).where("room >= 0 AND rows > 0")
+    last = inner.groupBy("source").agg(F.max(F.struct("key", "size", "rows", "n")).alias("last")).select(F.col("source").alias("ls"), "last")
+    border = edge.join(last, F.col("s").eqNullSafe(F.col("ls")), "left").select(F.col("s"), F.coalesce("last.key", "b").alias("border"), "last.size", "last.rows", "last.n")
+    # a bucket's name is before all its keys, but for the one of the rows without an id
+    border = border.withColumn("size", F.coalesce("size", F.lit(-1)))
     plan = targets.join(border, F.col("source").eqNullSafe(F.col("s")), "left")
     # no bucket ends above: nothing missing, or all of the source is taken once more
-    none = F.when(F.col("more") > 0, F.lit("g")).otherwise(F.lit(""))
-    return plan.select(F.col("source").alias("__source"), "source_size", "target", "times", F.coalesce("border", none).alias("border"))
+    none = F.when(F.col("more") > 0, F.lit("h")).otherwise(F.lit(""))
+    split = F.coalesce(F.col("rows") < F.col("n"), F.lit(False))
+    return plan.select(
+        F.col("source").alias("__source"), "source_size", "target", "times", F.coalesce("border", none).alias("border"),
+        F.coalesce("size", F.lit(-1)).alias("border_size"), F.col("rows").alias("border_rows"), split.alias("split"))
 
 
-def _taken(docs: DataFrame, source: str, plan: DataFrame, key) -> DataFrame:
+def _taken(docs: DataFrame, source: str, plan: DataFrame, key: str, size: str, digest: str | None = None) -> DataFrame:
     """docs with their source's plan and __times, how often each is taken."""
     plan = common.cut(plan)
     small = F.broadcast(plan) if plan.count() <= SMALL else plan
-    joined = docs.join(small, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    return joined.withColumn("__times", F.col("times") + F.when(key <= F.col("border"), 1).otherwise(0))
+    joined = docs.join(small, F.col(source).eqNullSafe(F.col("__source")), "left")
+    at = (F.col(key) == F.col("border")) & (F.col(size) == F.col("border_size"))
+    below = (F.col(key) < F.col("border")) | ((F.col(key) == F.col("border")) & (F.col(size) <= F.col("border_size")))
+    if plan.where("split").isEmpty():
+        return joined.withColumn("__times", F.col("times") + F.when(below, 1).otherwise(0)).drop("__source")
+    among = F.col("split") & at
+    rest = joined.where(~among).withColumn("__times", F.col("times") + F.when(below, 1).otherwise(0))
+    tied = _numbered(joined.where(among), "__source", [digest] if digest else [])
+    return rest.unionByName(tied.withColumn("__times", F.col("times") + F.when(F.col("__i") < F.col("border_rows"), 1).otherwise(0)).drop("__i")).drop("__source")
+
+
+def _numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with __i, their number from 0 among those of their key: numbers inside ranges of rows, moved on by the counts of earlier ranges."""
+    order = [*order, "__any"]
+    ranges = rows.withColumn("__any", F.monotonically_increasing_id()).repartitionByRange(key, *order)
+    ranges = common.cut(ranges.withColumn("__p", F.spark_partition_id()))
+    counts = ranges.groupBy(key, "__p").agg(F.count("*").alias("__n"))
+    base = counts.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), (F.sum("__n").over(Window.partitionBy(key).orderBy("__p")) - F.col("__n")).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(key, "__p").orderBy(*order)) - 1
+    both = ranges.withColumn("__in", inside).join(base, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return both.withColumn("__i", F.col("__in") + F.col("__base")).drop("__any", "__p", "__in", "__k", "__q", "__base")
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -97,15 +130,16 @@ def _slim(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs."""
     slim = common.cut(_slim(docs, doc_id, text, source))
-    found = _taken(slim, "source", _plan(slim, weights, max_epochs), F.col("key"))
+    found = _taken(slim, "source", _plan(slim, weights, max_epochs), "key", "size")
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of docs as the mix takes them: once, several times or not at all, all columns as they were. Texts without words go."""
     slim = common.cut(_slim(docs, doc_id, text, source))
-    own = docs.where(F.col(text).rlike(common.WORD)).select([F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)] + [_order(doc_id).alias("__key"), F.col(source).alias("__own")])
-    found = _taken(own, "__own", _plan(slim, weights, max_epochs), F.col("__key"))
+    keys = [_order(doc_id).alias("__key"), F.col(source).alias("__own"), common.word_count(F.col(text)).alias("__size"), F.xxhash64(F.col(text)).alias("__digest")]
+    own = docs.where(F.col(text).rlike(common.WORD)).select([F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)] + keys)
+    found = _taken(own, "__own", _plan(slim, weights, max_epochs), "__key", "__size", "__digest")
     times = found.where("__times > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return times.select([F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
