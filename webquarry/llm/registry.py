@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from webquarry.llm import bpe, langid, lattice, licenses, mixture, quality, simhash, substring, tokenfile, topk
+from webquarry.llm import bpe, langid, lattice, licenses, mixture, quality, simhash, substring, tokenfile, topk, triebpe
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -34,6 +34,7 @@ QUERIES = {f.__name__: importable(f) for f in (
     tokenfile.op8_tokenfile,
     quality.op9_quality,
     substring.op10_substring,
+    triebpe.op13_trie_bpe,
 )}
 
 ORACLES = {
