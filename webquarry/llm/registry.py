@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from webquarry.llm import alignment, bpe, langid, lattice, licenses, mixture, quality, simhash, substring, tokenfile, topk, triebpe
+from webquarry.llm import alignment, bpe, convtrie, langid, lattice, licenses, mixture, quality, simhash, substring, tokenfile, topk, triebpe
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -35,6 +35,7 @@ QUERIES = {f.__name__: importable(f) for f in (
     quality.op9_quality,
     substring.op10_substring,
     alignment.op11_alignment,
+    convtrie.op12_conversation_trie,
     triebpe.op13_trie_bpe,
 )}
 
