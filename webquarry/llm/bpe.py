@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry.llm import common
+
 #: Pre-tokens that a worker keeps with their ids.
 MEMO = 400_000
 #: Matches that are encoded at once.
@@ -170,17 +172,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, doc_id: str =
     """doc_id, ids: the whole texts' ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
-        import pandas as pd
+    def make():
         import regex
 
         memo, find = _Memo(shared.value), regex.compile(pattern)
-        for pdf in batches:
-            ids = [[i for part in pieces(t or "", find) for i in chain.from_iterable(map(memo.__getitem__, part))] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(ids, dtype=object)})
+        return lambda texts: [[[i for part in pieces(t or "", find) for i in chain.from_iterable(map(memo.__getitem__, part))] for t in texts]]
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return common.mapped(slim, make, "ids array<int>")
 
 
 def decode(ids, vocabulary: Vocabulary) -> bytes:
@@ -191,14 +190,15 @@ def digest(docs: DataFrame, vocabulary: Vocabulary, pattern: str, doc_id: str =
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (the bytes decoded from the ids)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
+    def make():
         import regex
 
         vocabulary, find = shared.value, regex.compile(pattern)
         memo, bytes_of, written = _Memo(vocabulary), vocabulary.bytes_of, {i: str(i) for i in vocabulary.bytes_of}
-        for pdf in batches:
+
+        def rows(texts):
             out = []
-            for text in pdf["text"]:
+            for text in texts:
                 n, coded, decoded = 0, hashlib.sha256(), hashlib.sha256()
                 for part in pieces(text or "", find):
                     ids = list(chain.from_iterable(map(memo.__getitem__, part)))
@@ -207,11 +207,12 @@ def digest(docs: DataFrame, vocabulary: Vocabulary, pattern: str, doc_id: str =
                         decoded.update(b"".join(map(bytes_of.__getitem__, ids)))
                         n += len(ids)
                 out.append((n, coded.hexdigest(), decoded.hexdigest()))
-            yield pdf[["doc_id"]].assign(n_tokens=[x[0] for x in out], ids_sha256=[x[1] for x in out], decoded_sha256=[x[2] for x in out])
+            return zip(*out)
+
+        return rows
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.mapped(slim, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:

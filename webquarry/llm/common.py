@@ -45,6 +45,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def mapped(slim: DataFrame, make, schema: str, keep: tuple[str, ...] = ("doc_id",), size: int = 1024) -> DataFrame:
+    """The columns `keep` as they are and those of `schema`, made from the other columns of slim, `size` rows at a time.
+
+    make() runs once a task and gives a function from lists of the other columns to lists of the new ones. What is kept stays Arrow's: whole
+    numbers beside nulls are not touched, as they would be by pandas."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds, others = to_arrow_schema(StructType.fromDDL(schema)), [c for c in slim.columns if c not in keep]
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                made = rows(*[part.column(c).to_pylist() for c in others])
+                arrays = [part.column(c) for c in keep] + [pa.array(x, k.type) for x, k in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds.names])
+
+    kept = "".join(f"{c} {slim.schema[c].dataType.simpleString()}, " for c in keep)
+    return slim.mapInArrow(run, kept + schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and go on from there: work before it isn't done again when an executor is lost."""
     path = shared_folder(df.sparkSession)

@@ -56,14 +56,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """doc_id, fp: the fingerprint's bits as a long; with digest, the text's hash as well."""
     more = ["digest"] if digest else []
 
-    def run(batches):
-        for pdf in batches:
-            fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pdf[["doc_id", *more]].assign(fp=fps)
-
-    kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.xxhash64(F.col(text)).alias(c) for c in more])
-    return slim.mapInPandas(run, f"doc_id {kind}, {'digest long, ' if more else ''}fp long")
+    rows = lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+    return common.mapped(slim, lambda: rows, "fp long", ("doc_id", *more))
 
 
 def _keys(fp):
@@ -145,17 +140,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each component, all columns as they were: that of the smallest id, an id before none, then of the smallest text hash.
 
-    A component's first is a minimum over its fingerprints' minima, so ids may be null or repeated; rows equal in id and text are made one
-    in the tasks, before any shuffle."""
-    # ids go through Python as strings: beside nulls, pandas would hold whole numbers as floats
-    ids, kind = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")), docs.schema[doc_id].dataType
-    prints = common.cut(fingerprints(ids, digest=True))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast(kind).alias("id"), "digest", F.coalesce("doc_id", F.lit("")).alias("name"))
+    A component's first is a minimum over its fingerprints' minima, so ids may be null or repeated. The small table of firsts is joined first, so
+    that only the rows that stay, and rows equal to them in id and text, are made one; of those the one with the smallest hash of its other columns stays."""
+    prints = common.cut(fingerprints(docs, doc_id, text, digest=True))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"))
     whole = _parts(prints.groupBy("fp").agg(F.min(row).alias("first")), DISTANCE)
     firsts = whole.groupBy("part").agg(F.min("first").alias("first"))
     keys = {"__none": F.col(doc_id).isNull(), "__name": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__text": F.xxhash64(F.col(text))}
     firsts = firsts.select(F.col("first.none").alias("__none"), F.col("first.name").alias("__name"), F.col("first.digest").alias("__text"))
-    return docs.withColumns(keys).dropDuplicates(list(keys)).join(firsts, list(keys), "left_semi").select(docs.columns)
+    near = docs.withColumns(keys).join(firsts, list(keys), "left_semi")
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    one = near.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*[F.col(c) for c in docs.columns])).alias("__row"))
+    return one.select(*[F.col(f"__row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,30 +262,27 @@ def _pairs(spans) -> list[tuple[int, int]]:
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each row."""
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for t, spans in zip(pdf["text"], pdf["__spans"]):
-                spans, sha, begin, gone, between = _pairs(spans), hashlib.sha256(), 0, 0, b""
-                total = None
-                for words in common.word_chunks((t or "").encode()):
-                    kept = words
-                    if spans:
-                        near = [(max(a - begin, 0), min(b - begin, len(words))) for a, b in spans if a < begin + len(words) and b > begin]
-                        drop = covered(near, len(words))
-                        gone += int(drop.sum())
-                        kept = [w for w, d in zip(words, drop) if not d] if near else words
-                    begin += len(words)
-                    if kept:
-                        sha.update(between + b" ".join(kept))
-                        between = b" "
-                total = begin
-                out.append((total, gone, sha.hexdigest()))
-            yield pdf[["doc_id"]].assign(n_words=[x[0] for x in out], n_removed=[x[1] for x in out], kept_sha256=[x[2] for x in out])
+    def rows(texts, spans_of):
+        out = []
+        for t, spans in zip(texts, spans_of):
+            spans, sha, begin, gone, between = _pairs(spans), hashlib.sha256(), 0, 0, b""
+            for words in common.word_chunks((t or "").encode()):
+                kept = words
+                if spans:
+                    near = [(max(a - begin, 0), min(b - begin, len(words))) for a, b in spans if a < begin + len(words) and b > begin]
+                    drop = covered(near, len(words))
+                    gone += int(drop.sum())
+                    kept = [w for w, d in zip(words, drop) if not d] if near else words
+                begin += len(words)
+                if kept:
+                    sha.update(between + b" ".join(kept))
+                    between = b" "
+            out.append((begin, gone, sha.hexdigest()))
+        return zip(*out)
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return _with_spans(slim, "doc_id", "text", window).mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    found = _with_spans(slim, "doc_id", "text", window).select("doc_id", "text", "__spans")
+    return common.mapped(found, lambda: rows, "n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
