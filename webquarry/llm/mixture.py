@@ -50,7 +50,8 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
             break
         before, rest, free = row[0], total - row[1], row[2]
         # above: w * rest / free > cap, in whole numbers
-        clamped = (F.col("w") * F.lit(rest) >= cap * F.lit(free)) if free else F.lit(True)
+        whole = [x.cast("decimal(38,0)") for x in (F.col("w"), F.lit(rest), cap, F.lit(free))]
+        clamped = (whole[0] * whole[1] >= whole[2] * whole[3]) if free else F.lit(True)
     share = F.col("w").cast("double") * F.lit(float(rest)) / F.lit(float(free or 1))
     return known.select("source", "source_size", F.when(clamped, cap.cast("double")).otherwise(share).alias("target"))
 
@@ -151,7 +152,7 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL: clamped sources are those that come first by size / weight, and each share is taken from sums over that order.
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || doc_id) AS key
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(md5('mix-1:' || doc_id), 'g') AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)] AS w FROM s),
