@@ -5,9 +5,10 @@ geometric mean of their numbers of different n-grams. `landmarks` texts of the t
 regression of +1 and -1 for each language on the landmarks' features gives one column of weights a language. Scoring holds a batch of texts
 as a presence matrix over the landmarks' n-grams and takes two matrix products: presence by landmarks, kernel by weights.
 
-The fit is on the driver from a bounded sample: about `PER_LANGUAGE` documents of each language, of any length, picked by the hash of their id;
-landmarks are the first of them by that hash. Tasks turn the picked texts into their different n-grams, so that the driver holds no text.
-Scoring covers every whole text.
+The fit is on the driver from a bounded sample: about `PER_LANGUAGE` documents of each language, `ROWS` in all, of any length, picked by the hash of
+their id; landmarks are the first of them by that hash, in turn from each language, and with more languages than landmarks some have none and are
+told by the others' features. Tasks turn the picked texts into their different n-grams, so that the driver holds no text; of a very long one the `GRAMS`
+with the smallest hashes, and the model keeps `VOCABULARY` n-grams, so that its size is bounded. Scoring covers every whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text when nothing could be learnt (`keep_identified`
 then keeps all texts with a letter, their language as it was); score is the
@@ -23,11 +24,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry.llm import common
+
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
 LANDMARKS = 160
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: Rows of the training sample in all; n-grams of one of its texts; n-grams of all landmarks.
+ROWS, GRAMS, VOCABULARY = 8000, 20_000, 120_000
 #: Texts whose presence rows make one matrix.
 BATCH = 64
 _PIECE = 1 << 20
@@ -94,10 +99,13 @@ def fit_grams(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ri
         for l in languages:
             if (k := next(turns[l], None)) is not None and len(chosen) < landmarks:
                 chosen.append(k)
-    vocabulary = np.unique(np.concatenate([grams[k] for k in chosen]))
+    vocabulary, held_by = np.unique(np.concatenate([grams[k] for k in chosen]), return_counts=True)
+    if len(vocabulary) > VOCABULARY:  # those in most landmarks, then by a hash
+        keep = np.lexsort((vocabulary.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), -held_by))[:VOCABULARY]
+        vocabulary = np.sort(vocabulary[keep])
     presence = np.zeros((len(vocabulary), len(chosen)), np.float32)
     for column, k in enumerate(chosen):
-        presence[np.searchsorted(vocabulary, grams[k]), column] = 1
+        presence[np.isin(vocabulary, grams[k], assume_unique=True), column] = 1
     norms = np.sqrt([len(grams[k]) for k in chosen])
     model = Model(languages, vocabulary, presence, norms, np.zeros((len(chosen), len(languages))))
     among = model.kernel([grams[k] for k in chosen])
@@ -114,22 +122,29 @@ def fit_grams(rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ri
     return model
 
 
+def thinned(grams: np.ndarray, most: int = GRAMS) -> np.ndarray:
+    """Of many n-grams those with the smallest hashes, the same ones in every text."""
+    if len(grams) <= most:
+        return grams
+    mixed = grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.sort(grams[np.argpartition(mixed ^ (mixed >> np.uint64(32)), most)[:most]])
+
+
 def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
     """N-grams and language of about per_language rows of each language, by the hash of the id: a share of each that follows from its count."""
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("l")).count().collect()}
-    rate = F.lit(0.0)
-    for language, n in counts.items():
-        rate = F.when(F.col(lang) == language, F.lit(min(1.0, per_language / n))).otherwise(rate)
+    # the counts are a written table, so that Spark knows their size and sends them along if they are few
+    counts = common.cut(known.groupBy(F.col(lang).alias("__l")).agg(F.count("*").alias("__n")))
+    share = F.lit(float(max(1, min(per_language, ROWS // max(1, counts.count())))))
 
     @F.pandas_udf("binary")
     def present(texts):
         import pandas as pd
 
-        return pd.Series([ngrams(t).tobytes() if any(map(str.isalpha, t)) else None for t in texts], dtype=object)
+        return pd.Series([thinned(ngrams(t)).tobytes() if any(map(str.isalpha, t)) else None for t in texts], dtype=object)
 
-    drawn = known.where(draw < rate).select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d"))
+    drawn = known.join(counts, F.col(lang) == F.col("__l")).where(draw < share / F.col("__n")).select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d"))
     picked = drawn.select(present.asNondeterministic()("t").alias("g"), "l", "d").where("g IS NOT NULL").collect()
     picked.sort(key=lambda r: (r["d"], r["l"], r["g"]))
     return [(np.frombuffer(r["g"], np.int64), r["l"]) for r in picked]
