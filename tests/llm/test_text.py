@@ -5,6 +5,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -188,3 +189,40 @@ def test_sources_by_a_join(spark, monkeypatch):
     got = {tuple(r) for r in registry.QUERIES["op2_mixture"](spark, SF).collect()}
     monkeypatch.undo()
     assert got == {tuple(r) for r in registry.QUERIES["op2_mixture"](spark, SF).collect()}
+
+
+def test_many_languages_and_long_texts(spark):
+    """Thousands of languages are no deep plan, and landmarks of very long texts no large model."""
+    rows = [(k, f"word{k} text of {k}", f"l{k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_grams(langid.training_rows(docs, "doc_id", "text", "lang"))
+    assert len(model.languages) == 3000 and model.presence.shape[1] == langid.LANDMARKS
+    rnd = random.Random(3)
+    long = [("".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(60_000)), f"l{k % 2}") for k in range(12)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(long)], "doc_id long, text string, lang string")
+    model = langid.fit_grams(langid.training_rows(docs, "doc_id", "text", "lang"))
+    assert model.presence.nbytes <= 4 * langid.VOCABULARY * langid.LANDMARKS < 100e6
+    assert all(len(g) <= langid.GRAMS for g, _ in langid.training_rows(docs, "doc_id", "text", "lang"))
+
+
+def test_query_of_languages_against_plain_kernels(spark):
+    """The query's own result: n-grams as Python strings, the kernel and the regression written out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in registry.QUERIES["op3_langid"](spark, SF).collect()}
+    learn = langid.training_rows(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
+    model = langid.fit_grams(learn)
+    code = lambda g: sum((ord(c) + 1) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    for row in docs.select("doc_id", "text").collect()[:60]:
+        text = row.text.lower()
+        present = {code(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+        kernel = [len(present & set(model.grams[model.presence[:, j] > 0].tolist())) / (len(present) ** 0.5 * model.norms[j]) for j in range(len(model.norms))]
+        values = np.array(kernel) @ model.weights
+        assert got[row.doc_id][0] == model.languages[int(values.argmax())]
+        assert got[row.doc_id][1] == pytest.approx(min(1, max(0, (values.max() + 1) / 2)), abs=1e-4)
+
+
+def test_mixture_of_many_small_beside_huge_sources(spark):
+    """Shares of words times sources go beyond a long."""
+    rows = [(f"s{k:06d}", 1) for k in range(20_000)] + [("huge1", 10**15), ("huge2", 10**15)]
+    found = {r.source: r.target for r in mixture.water_fill(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    assert len(found) == 20_002 and sum(found.values()) == pytest.approx(2 * 10**15 + 20_000, rel=1e-6)

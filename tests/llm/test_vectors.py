@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,16 @@ def test_nearest_point_of_e8():
     assert (gap[:, None] <= (((x - near)[:, None] - around[None]) ** 2).sum(2) + 1e-9).all()
 
 
+def test_vectors_of_different_lengths_in_one_cell():
+    """A clash of cells loses no link."""
+    vectors = [[1.0, 0.1], [1.0, 0.1, 0.0], [1.0, 0.2], [1.0, 0.2, 0.0]]
+    n = len(vectors)
+    columns = {"t": pa.array([0] * n, pa.int32()), "k": pa.array([5] * n), "_i": pa.array([0] * n), "_j": pa.array([0] * n), "_p": pa.array([0] * n), "home": pa.array([True] * n),
+               "cid": pa.array(range(n)), "n": pa.array([1] * n), "v": pa.array(vectors), "homes": pa.array([[5]] * n), "probes": pa.array([[6]] * n)}
+    (found,) = lattice._compared(0.93, 1, 1)(iter([pa.RecordBatch.from_pydict(columns)]))
+    assert found.to_pydict() == {"cid": [0, 1, 2, 3], "near": [0, 1, 0, 1], "links": [1, 1, 1, 1]}
+
+
 def test_no_vectors(spark):
     assert lattice.near_duplicates(vectors([], spark)).count() == 0
     assert [tuple(r) for r in lattice.near_duplicates(vectors([(1, None, None)], spark)).collect()] == [(1, 0, 1, True)]

@@ -117,15 +117,17 @@ def _compared(cosine: float, tables: int, probes: int):
                     continue
                 part = vectors.slice(s, e - s)
                 lengths = np.diff(part.offsets.to_numpy())
-                if (lengths != lengths[0]).any():  # a clash of hashes
-                    continue
-                x = _unit(part.flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1))
-                mine, theirs = np.flatnonzero(home[s:e] & (p[s:e] == i[s])), np.flatnonzero(p[s:e] == j[s])
-                sides = [(mine, theirs)]
-                if i[s] != j[s]:
-                    sides.append((np.flatnonzero(home[s:e] & (p[s:e] == j[s])), np.flatnonzero(p[s:e] == i[s])))
+                sides = []
+                # one length, but for a clash of hashes
+                for size in np.unique(lengths):
+                    of = lengths == size
+                    x = np.zeros((e - s, size))
+                    x[of] = _unit(part.take(pa.array(np.flatnonzero(of))).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+                    sides.append((x, np.flatnonzero(of & home[s:e] & (p[s:e] == i[s])), np.flatnonzero(of & (p[s:e] == j[s]))))
+                    if i[s] != j[s]:
+                        sides.append((x, np.flatnonzero(of & home[s:e] & (p[s:e] == j[s])), np.flatnonzero(of & (p[s:e] == i[s]))))
                 us, vs = [], []
-                for left, right in sides:
+                for x, left, right in sides:
                     for c in range(0, len(left), 512):
                         u, v = np.nonzero(x[left[c : c + 512]] @ x[right].T >= cosine)
                         u, v = left[c + u], right[v]
@@ -142,7 +144,7 @@ def _compared(cosine: float, tables: int, probes: int):
                             first[homes[a, q] == homes[b, q]] = 3 * q
                         us.append(u[first == way])
                         vs.append(v[first == way])
-                u, v = np.concatenate(us), np.concatenate(vs)
+                u, v = np.concatenate(us or [[]]).astype(int), np.concatenate(vs or [[]]).astype(int)
                 if not len(u):
                     continue
                 size = e - s
@@ -173,8 +175,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
         F.transform("homes", lambda k, t: F.struct(t.alias("t"), k.alias("k"), F.lit(True).alias("home"))),
         F.transform("probes", lambda k, t: F.struct(F.floor(t / probes).cast("int").alias("t"), k.alias("k"), F.lit(False).alias("home"))),
     ))
-    keyed = addressed.withColumn("_c", F.explode(places)).select("_c.t", "_c.k", "_c.home", "cid", "n", "v", "homes", "probes")
-    dealt = common.blocked(keyed, ["t", "k"], "cid", cell, some="home")
+    keyed = addressed.withColumn("_c", F.explode(places)).select("_c.t", "_c.k", "_c.home", "cid")
+    # cells are dealt by ids; vectors go only to those in which they are compared
+    dealt = common.blocked(keyed, ["t", "k"], "cid", cell, some="home").join(addressed.select("cid", "n", "v", "homes", "probes"), "cid")
     order = ["t", "k", "_i", "_j"]
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(cosine, tables, probes), "cid long, near long, links long")
     found = common.cut(found)
