@@ -1,6 +1,7 @@
 """Names, merges, summaries, vocabulary counts, sinks, streams and frames."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ from webquarry.streaming.convert import convert_stream, read_page_stream
 
 
 def names_one_by_one(titles):
-    used, out = set(), []
+    used, out, tried = set(), [], {}
     for t in titles:
-        name, n = t, 1
+        # numbers that were taken once stay so
+        name, n = t, tried.get(t, 1)
         while name in used:
             name, n = f"{t}_{n}", n + 1
         used.add(name)
+        tried[t] = max(1, n - 1)
         out.append(name + ".md")
     return out
 
@@ -46,6 +49,36 @@ def test_unique_names_of_clashing_titles(spark, seed):
     assert got == names_one_by_one(titles)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_names_in_chains(spark, seed, monkeypatch):
+    """Rivals that hang on each other, settled by bounds or, without rounds of them, one by one."""
+    monkeypatch.setattr(B, "ROUNDS", seed)
+    rnd = random.Random(seed)
+    titles = [t for k in range(1, 40) for t in rnd.sample(["p", f"p_{k}", f"p_{k + rnd.randint(0, 9)}"], rnd.randint(1, 3))] + ["p"] * 30
+    df = spark.createDataFrame(list(enumerate(titles)), "page_id bigint, title string").repartition(3)
+    got = [r.file_name for r in B.unique_names(df).orderBy("page_id").collect()]
+    assert got == names_one_by_one(titles)
+
+
+def test_unique_names_of_one_hot_stem(spark):
+    """80,000 titles with a number beside as many plain ones: no task holds a stem's rivals."""
+    n = 80_000
+    df = spark.range(2 * n).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, "Page").otherwise(
+        F.concat(F.lit("Page_"), (F.col("id") + 1) / 2).cast("string")).alias("title"))
+    df = df.withColumn("title", F.regexp_replace("title", r"\.0$", ""))
+    started = time.time()
+    got = [r.file_name for r in B.unique_names(df).orderBy("page_id").select("file_name").collect()]
+    assert time.time() - started < 120
+    assert got == names_one_by_one([r.title for r in df.orderBy("page_id").collect()])
+
+
+def test_names_of_rows_with_one_page_id(spark):
+    rows = [(1, 1, "t"), (1, 2, "t"), (None, 3, "t"), (None, 4, "u")]
+    df = spark.createDataFrame(rows, "page_id bigint, page_key bigint, title string")
+    got = {r.page_key: r.file_name for r in B.unique_names(df, order=["page_id", "page_key"]).collect()}
+    assert got == {3: "t.md", 4: "u.md", 1: "t_1.md", 2: "t_2.md"}
+
+
 def test_ranked_hot_key(spark):
     random.seed(1)
     rows = [(i, "hot" if random.random() < 0.5 else f"k{random.randrange(9)}") for i in range(500)]

@@ -6,7 +6,7 @@ put together from ranges of rows, merged text comes in parts, medians from count
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry.functions import constants as C
@@ -14,37 +14,49 @@ from webquarry.functions import text as X
 from webquarry.operators.lineage import cut
 
 
-def ranked(df: DataFrame, key: str, order: str | list[str], name: str = "rank") -> DataFrame:
-    """Rank from 0 of each row among the rows with its ``key``, by ``order``.
+def scanned(df: DataFrame, key: str, order: str | list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the earlier rows with the same ``key``, by ``order``: a segmented prefix scan.
 
-    Rows are dealt out by ranges of key and order, ranked inside their range and moved by the counts of the
-    key's earlier ranges. A hot key fills several ranges, whatever its orders look like.
+    Rows are dealt out by ranges of key and order, summed up inside their range, and the totals of the key's earlier
+    ranges are carried on. A hot key fills several ranges, whatever its orders look like.
     """
     order = [order] if isinstance(order, str) else order
     # the ranges are read twice, so they are written first
-    df = cut(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
-    counts = df.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    df = cut(df.withColumns({f"_v_{n}": c.cast("bigint") for n, c in sums.items()}).repartitionByRange(key, *order)
+             .withColumn("_range", F.spark_partition_id()))
+    totals = df.groupBy(key, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(key, "_range").orderBy(*order)
-    df = df.withColumn("_in", F.row_number().over(inside) - 1)
-    both = df.join(base, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
-    return both.withColumn(name, F.col("_in") + F.col("_base")).drop("_in", "_base", "_range", "_key", "_at")
+    none = F.lit(0).cast("bigint")
+    carried = totals.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), *[
+        F.coalesce(F.sum(f"_t_{n}").over(earlier), none).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), none) for n in sums})
+    both = df.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    both = both.withColumns({n: F.col(f"_i_{n}") + F.col(f"_b_{n}") for n in sums})
+    return both.drop("_range", "_key", "_at", *[f"_{p}_{n}" for n in sums for p in "vib"])
+
+
+def ranked(df: DataFrame, key: str, order: str | list[str], name: str = "rank") -> DataFrame:
+    """Rank from 0 of each row among the rows with its ``key``, by ``order``."""
+    return scanned(df, key, order, {name: F.lit(1)})
 
 
 _SUFFIX = r"_([1-9][0-9]*)$"
+#: Rounds of bounds before what is still open is settled one by one.
+ROUNDS = 4
 
 
-def unique_names(df: DataFrame, title: str = "title", order: str = "page_id") -> DataFrame:
+def unique_names(df: DataFrame, title: str = "title", order: str | list[str] = "page_id") -> DataFrame:
     """``file_name``: the sanitised title, with ``_1``, ``_2`` … from its second use on.
 
     Two things can clash: a number given to a stem, and a title that ends in it. If the title came first, the
     stem skips the number; if not, the title finds its plain name taken and counts on from 1 itself. Only
-    stems with such titles are looked at, in a table of one row a title; their numbers follow from how many
-    rows of the stem came before it. A title that is a stem itself waits for its own stem, so there are as
-    many rounds as a name has numbers at its end.
+    stems with such titles, their rivals, are looked at, a row a rival. A title that is a stem itself waits for
+    its own stem, so there are as many rounds as a name has numbers at its end. ``order`` must tell rows apart.
     """
-    uses = ranked(df.select(F.col(order).alias("_order"), X.sanitize_filename(F.col(title)).alias("base")), "base", "_order", "use")
+    order = [order] if isinstance(order, str) else order
+    place = F.struct(*order).alias("_order")
+    uses = ranked(df.select(place, X.sanitize_filename(F.col(title)).alias("base")), "base", "_order", "use")
     stems = uses.groupBy("base").agg(F.count("*").alias("uses"), F.min("_order").alias("first"))
     rivals = stems.select(
         F.regexp_replace("base", _SUFFIX, "").alias("stem"),
@@ -53,59 +65,98 @@ def unique_names(df: DataFrame, title: str = "title", order: str = "page_id") ->
     clashes = cut(rivals.join(stems.select(F.col("base").alias("stem"), "uses"), "stem"))
     number = F.col("use")
     if not clashes.isEmpty():
-        info = _settled(uses, clashes)
-        # a row is moved on by the skips below its number: rank it among them
-        marks = info.select("base", F.explode("skips").alias("at"), F.lit(0).alias("row"), F.lit(None).alias("_order"))
-        known = uses.join(info.select("base", "late"), "base")
-        rows = known.select("base", F.col("use").alias("at"), F.lit(1).alias("row"), "_order")
-        moved = ranked(rows.unionByName(marks), "base", ["at", "row"], "moved").filter("row = 1")
-        late = info.select("base", F.col("late").cast("int").alias("late"))
-        moved = moved.join(late, "base").select("_order", (F.col("moved") + F.col("late")).alias("number"))
+        skips, late = _settled(uses, clashes)
+        # a row is moved on by the skips at or before its number
+        changed = skips.select("base").unionByName(late).distinct()
+        rows = uses.join(changed, "base", "left_semi").select("base", F.col("use").alias("at"), F.lit(1).alias("row"), "_order")
+        marks = skips.select("base", "at", F.lit(0).alias("row"), F.lit(None).cast(uses.schema["_order"].dataType).alias("_order"))
+        moved = scanned(rows.unionByName(marks), "base", ["at", "row"], {"skipped": F.col("row") == 0}).filter("row = 1")
+        moved = moved.join(late.withColumn("late", F.lit(1)), "base", "left")
+        moved = moved.select("_order", (F.col("at") + F.col("skipped") + F.coalesce("late", F.lit(0))).alias("number"))
         uses = uses.join(moved, "_order", "left")
         number = F.coalesce("number", "use")
     name = F.concat("base", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    names = uses.select("_order", name.alias("file_name"))
-    return df.join(names, F.col(order) == F.col("_order")).drop("_order")
+    names = uses.select(F.col("_order").alias("_place"), name.alias("file_name"))
+    return df.join(names, F.struct(*order) == F.col("_place")).drop("_place")
+
 
+def _settled(uses: DataFrame, clashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``base, at``: ranks of a base's rows before which a number is left out; ``base``: titles whose plain name is taken.
 
-def _settled(uses: DataFrame, clashes: DataFrame) -> DataFrame:
-    """``base, late, skips`` of the names that clash: ``skips`` are ranks of the base's rows before which a number is left out."""
+    A rival with number n is passed, and n left out, if the stem comes to n after the rival came, and taken if before. The stem's row that comes to n
+    is n less the numbers it has left out before, which is a sum over the stem's earlier rivals.
+    """
     marks = clashes.select(F.col("stem").alias("base"), F.col("first").alias("_order"), "rival")
-    # rows of the stem before the rival's first: its rank among both, less its rank among rivals
+    # rows of the stem before the rival's first
     own = uses.join(clashes.select(F.col("stem").alias("base")).distinct(), "base", "left_semi")
     both = own.select("base", "_order", F.lit(None).cast("string").alias("rival")).unionByName(marks)
-    among = ranked(both, "base", "_order", "all").filter("rival IS NOT NULL")
-    before = among.join(ranked(marks, "base", "_order", "other").select("rival", "other"), "rival")
-    before = before.select("rival", (F.col("all") - F.col("other")).alias("before"))
-    depth = F.length(F.regexp_extract("stem", r"((?:_[1-9][0-9]*)*)$", 1)) - F.length(
-        F.regexp_replace(F.regexp_extract("stem", r"((?:_[1-9][0-9]*)*)$", 1), "_", ""))
+    before = scanned(both, "base", "_order", {"before": F.col("rival").isNull()}).filter("rival IS NOT NULL").select("rival", "before")
+    numbers = F.regexp_extract("stem", r"((?:_[1-9][0-9]*)*)$", 1)
+    depth = F.length(numbers) - F.length(F.regexp_replace(numbers, "_", ""))
     table = cut(clashes.join(before, "rival").withColumn("depth", depth))
-    late, done = None, None
+    late, skips = None, None
     # a name has 50 numbers at its end at most
     for (level,) in table.select("depth").distinct().orderBy("depth").collect():
-        own = table.filter(F.col("depth") == level).groupBy("stem").agg(
-            F.first("uses").alias("uses"), F.array_sort(F.collect_list(F.struct("n", "before", "rival"))).alias("rivals"))
-        own = own.withColumn("late", F.lit(False)) if late is None else own.join(
-            late.select(F.col("base").alias("stem"), F.lit(True).alias("late")), "stem", "left").withColumn(
-            "late", F.coalesce("late", F.lit(False)))
-
-        def step(s, r):
-            skipped = F.size(s["skips"])
-            row = r["n"] - skipped - F.col("late").cast("int")
-            taken, passed = row < r["before"], (row >= r["before"]) & (row < F.col("uses"))
-            return F.struct(
-                F.when(passed, F.concat(s["skips"], F.array(row))).otherwise(s["skips"]).alias("skips"),
-                F.when(taken, F.concat(s["lates"], F.array(r["rival"]))).otherwise(s["lates"]).alias("lates"))
-
-        empty = F.struct(F.array().cast("array<bigint>").alias("skips"), F.array().cast("array<string>").alias("lates"))
-        found = cut(own.select("stem", "late", F.aggregate("rivals", empty, step).alias("s")))
-        names = found.select(F.explode("s.lates").alias("base"))
-        late = names if late is None else late.unionByName(names)
-        level_done = found.select(F.col("stem").alias("base"), "late", F.col("s.skips").alias("skips"))
-        done = level_done if done is None else done.unionByName(level_done)
-    # titles that are late and no stem of others
-    rest = late.join(done.select("base"), "base", "left_anti").select("base", F.lit(True).alias("late"), F.array().cast("array<bigint>").alias("skips"))
-    return done.unionByName(rest)
+        rows = table.filter(F.col("depth") == level).select("stem", "n", "rival", "before", "uses")
+        if late is None:
+            rows = rows.withColumn("first", F.col("n"))
+        else:
+            known = late.select(F.col("base").alias("stem"), F.lit(1).alias("_late"))
+            rows = rows.join(known, "stem", "left").withColumn("first", F.col("n") - F.coalesce("_late", F.lit(0))).drop("_late")
+        rows = cut(_passed(rows))
+        passed = rows.filter("passed").select(F.col("stem").alias("base"), F.col("first").alias("at"))
+        taken = rows.filter(~F.col("passed") & (F.col("first") < F.col("before"))).select(F.col("rival").alias("base"))
+        skips = passed if skips is None else skips.unionByName(passed)
+        late = taken if late is None else late.unionByName(taken)
+    return cut(skips), cut(late)
+
+
+def _passed(rows: DataFrame) -> DataFrame:
+    """``passed`` of each rival (``stem, n, before, uses, first``), and ``first``, the stem's row that comes to its number.
+
+    The numbers left out before a rival lie between those that surely are and these with all that are open. Bounds from sums over the
+    earlier rivals settle most of them in a few rounds; a chain of rivals that hang on each other is settled one by one
+    as it streams by in order, with one number kept for its stem.
+    """
+    # a stem comes to n with row n at the latest; the last rows never come
+    rows = rows.withColumn("passed", F.lit(None).cast("boolean"))
+    for _ in range(ROUNDS):
+        rows = _bounded(rows)
+        least, most = F.col("first") - F.col("_sure") - F.col("_open"), F.col("first") - F.col("_sure")
+        found = F.when((least >= F.col("before")) & (most < F.col("uses")), True).when(
+            (most < F.col("before")) | (least >= F.col("uses")), False)
+        rows = cut(rows.withColumn("passed", F.coalesce("passed", found)).drop("_sure", "_open"))
+        if rows.filter("passed IS NULL").isEmpty():
+            break
+    else:
+        rows = cut(_bounded(rows))
+        chain = rows.filter("passed IS NULL").select("stem", "n", F.col("first").alias("at"), "before", "uses", F.col("_sure").alias("sure"))
+        chain = chain.repartition("stem").sortWithinPartitions("stem", "n").mapInArrow(_walk(), "stem string, n bigint, found boolean")
+        rows = rows.join(chain, ["stem", "n"], "left").withColumn("passed", F.coalesce("passed", "found")).drop("found", "_sure", "_open")
+    done = scanned(rows, "stem", "n", {"_out": F.col("passed").cast("int")})
+    return done.withColumn("first", F.col("first") - F.col("_out")).drop("_out")
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    return scanned(rows, "stem", "n", {"_sure": F.coalesce("passed", F.lit(False)).cast("int"), "_open": F.col("passed").isNull().cast("int")})
+
+
+def _walk():
+    def walk(batches):
+        import pyarrow as pa
+
+        stem, passed = None, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["stem"] != stem:
+                    stem, passed = r["stem"], 0
+                row = r["at"] - r["sure"] - passed
+                out.append(r["before"] <= row < r["uses"])
+                passed += out[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("stem"), batch.column("n"), pa.array(out, pa.bool_())], names=["stem", "n", "found"])
+
+    return walk
 
 
 def merge_markdown(results: DataFrame, group: str, order: str, text: str = "markdown",
