@@ -1,5 +1,6 @@
 """Names, merges, summaries, vocabulary counts, sinks, streams and frames."""
 
+import json
 import random
 import time
 
@@ -167,8 +168,6 @@ def test_sinks_and_files(spark, tmp_path):
     assert manifest.first().n_files == 2
     files = {r.file_name: r.content for r in spark.read.parquet(str(tmp_path / "e/files")).collect()}
     assert files == {"T.md": "a\nb", "T_1.md": "c"}
-    sinks.write_markdown_files(df, str(tmp_path / "m"))
-    assert {p.name for p in (tmp_path / "m").iterdir() if p.is_dir()} == {"file_name=T.md", "file_name=T_1.md"}
     merged = B.merge_markdown(df.withColumn("g", F.lit("all")), "g", "page_id", per_part=1)
     sinks.write_merged(merged, str(tmp_path / "g"), "g")
     assert "".join(p.read_text() for p in sorted((tmp_path / "g/g=all").glob("part-*"))) == "a\nb\n\n---\n\nc\n"
@@ -178,6 +177,32 @@ def test_sinks_and_files(spark, tmp_path):
     assert read_html_files(spark, str(tmp_path / "h")).first().html == "<p>x</p>"
 
 
+def test_one_file_a_page(spark, tmp_path):
+    titles = ["T", "T", "ä+b %41", "T_1", "x" * 300, None]
+    rows = [(k, t is not None, t, f"text {k}\n") for k, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "page_id bigint, success boolean, title string, markdown string").repartition(3)
+    path = tmp_path / "m"
+    for _ in range(2):  # the second job takes the place of the first
+        sinks.write_markdown_files(df, str(path))
+        found = {p.name: p.read_text() for p in path.glob("part-*/*") if not p.name.endswith(".crc")}
+        want = {"T.md": "text 0\n", "T_1.md": "text 1\n", "T_1_1.md": "text 3\n", "ä+b_%41.md": "text 2\n", "x" * 100 + ".md": "text 4\n"}
+        assert found == want
+        assert {r.file_name: r.content for r in sinks.read_markdown_files(spark, str(path)).collect()} == want
+    listed = json.loads((path / "committed.json").read_text())
+    assert sum(n for n, _ in listed.values()) == 5 and {p.name for p in path.glob("part-*")} == set(listed)
+
+
+def test_failed_export_leaves_the_last_one(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", "a"), ("b/c.md", "b")], "file_name string, content string")
+    spark.dataSource.register(sinks.named_files())
+    path = tmp_path / "f"
+    df.limit(1).write.format(sinks.FILES).mode("overwrite").save(str(path))
+    with pytest.raises(Exception):
+        df.repartition(2).write.format(sinks.FILES).mode("overwrite").save(str(path))
+    assert [p.name for p in path.glob("part-*/*")] == ["a.md"]
+    assert {r.file_name: r.content for r in sinks.read_markdown_files(spark, str(path)).collect()} == {"a.md": "a"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages.write.parquet(str(tmp_path / "in"))
