@@ -14,6 +14,7 @@ from webquarry.operators.tokens import size_report
 from webquarry.options import Options
 from webquarry.plans.article import article_table
 from webquarry.plans.convert import convert
+from webquarry.plans.full_page import full_page_markdown
 from webquarry.sources import sinks
 from webquarry.sources.pages import read_html_files, read_vocab, vocab_table
 from webquarry.streaming.convert import convert_stream, read_page_stream
@@ -125,8 +126,10 @@ def test_vocabulary(spark, tmp_path):
         f'{{"encoding": "e", "bytes": "{k}", "rank": {v}}}' for k, v in ranks.items()))
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     vocab = read_vocab(spark, str(path))
-    got = {r.id: r.token_count for r in token_count_vocab(df, vocab, "id", "text", "e").collect()}
-    assert got == {i: count_by_hand(t or "", ranks) for i, t in enumerate(texts)}
+    for largest in (0, 1 << 20):
+        counted = token_count_vocab(df, vocab, "id", "text", "e", largest)
+        assert {r.id: r.token_count for r in counted.collect()} == {i: count_by_hand(t or "", ranks) for i, t in enumerate(texts)}
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
     empty = vocab_table(spark.createDataFrame([], "encoding string, bytes string, rank bigint"))
     assert token_count_vocab(df.filter("id = 0"), empty, "id", "text", "e").first().token_count == 2
 
@@ -135,8 +138,9 @@ def test_vocabulary_of_long_words_and_texts(spark):
     long = "x" * 50
     raw = spark.createDataFrame([("e", ",".join(str(b) for b in long.encode()), 9), ("e", "120", 1)], "encoding string, bytes string, rank bigint")
     df = spark.createDataFrame([(1, long * 3 + "xx"), (2, ("ab " + long) * 700)], "id bigint, text string")
-    got = {r.id: r.token_count for r in token_count_vocab(df, vocab_table(raw), "id", "text", "e").collect()}
-    assert got == {1: 5, 2: 4 * 700}
+    for largest in (0, 1 << 20):
+        got = {r.id: r.token_count for r in token_count_vocab(df, vocab_table(raw), "id", "text", "e", largest).collect()}
+        assert got == {1: 5, 2: 4 * 700}
 
 
 def test_selection_and_guard(spark):
@@ -153,6 +157,40 @@ def test_selection_and_guard(spark):
     assert sorted((r.page_id, r.ord) for r in ordered) == [(1, 10), (2, 20), (3, 30)]
 
 
+TEXT = "A paragraph, long enough to count as one, about nothing in particular. "
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    def html(t):
+        return f"<html><head><title>Page {t}</title></head><body><article><p>{t}: {TEXT * 9}</p></article></body></html>"
+
+    rows = [(1, "https://e.com/a", html("A"), 10), (1, "https://e.com/b", html("B"), 11), (1, "https://e.com/b", html("B"), 11), (None, "https://e.com/c", html("C"), 12),
+            (None, "https://e.com/c", html("D"), 13), (None, None, None, None), (2, "https://e.com/c", html("C"), 14)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string, ord int").repartition(3)
+
+
+@pytest.mark.parametrize("scope", ["fullPage", "mainContent"])
+def test_pages_with_repeated_or_no_ids(odd_ids, scope):
+    """Pages of one id, of none, and equal pages each give their own row."""
+    got = convert(odd_ids, Options(scope=scope, metadata=False)).collect()
+    want = [(1, 10, "A"), (1, 11, "B"), (1, 11, "B"), (0, 12, "C"), (0, 13, "D"), (0, 0, ""), (2, 14, "C")]
+    assert sorted((r.page_id or 0, r.ord or 0, (r.title or "")[5:]) for r in got) == sorted(want)
+    assert {r.markdown for r in got if r.success} == {f"# Page {t}\n\n{t}: {(TEXT * 9).strip()}" for t in "ABCD"}
+
+
+def test_fragments_of_pages_with_repeated_ids(spark, odd_ids):
+    picks = spark.createDataFrame([(1, "<b>part</b>")], "page_id bigint, fragment_html string")
+    got = convert(odd_ids, Options(scope="selection", metadata=False), picks).collect()
+    assert sorted((r.page_id or 0, r.markdown or "") for r in got) == [(0, "")] * 3 + [(1, "# Page A\n\n**part**")] + [(1, "# Page B\n\n**part**")] * 2 + [(2, "")]
+
+
+def test_keyed_pages_need_one_exchange(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = full_page_markdown(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_empty_page_is_a_row(spark):
     pages = spark.createDataFrame([(1, "https://e.com/", ""), (2, "https://e.com/", None)],
                                   "page_id bigint, url string, html string")
@@ -266,3 +304,33 @@ def test_article_record(spark):
     assert (a.title, a.byline, a.dir, a.lang, a.attempt) == ("A long title for one page", "Jo Doe", "rtl", "de", 1)
     assert a.excerpt == line and a.text_content == line * 8 and a.length == len(line) * 8
     assert (b.attempt, b.text_content, b.lang) == (2, line, None)
+
+
+def article_text(spark, *bodies):
+    """Text of the article of each page."""
+    pages = spark.createDataFrame([(i, "https://e.com/", f"<html><head><title>A title for this page</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)],
+                                  "page_id bigint, url string, html string")
+    return [r.text_content for r in article_table(pages).orderBy("page_id").collect()]
+
+
+def test_tests_of_near_ancestors(spark):
+    """Unlikely names stay in a table or code that is open and one of the four nearest ancestors; figures and code count as near ones too."""
+    long = f"<p>{TEXT * 9}</p>"
+    note = "<div class='sidebar'><p>A note beside it, long enough.</p></div>"
+    inner = "<table><tr><td>x, y</td></tr></table>"
+    cell = lambda inside: f"<div>{long}<table summary='data'><tr><td>{inside}</td></tr></table></div>"
+    kept, closed, deep, code, far_code = article_text(
+        spark, cell(note), cell(f"{inner}{note}"), cell(f"<div><div><div><p>z</p>{note}</div></div></div>"),
+        f"<div>{long}<code><span>{note}</span></code></div>", f"<div>{long}<code><i><b><u><em>{note}</em></u></b></i></code></div>")
+    assert "A note beside it" in kept  # two levels below the table
+    assert "A note beside it" in closed  # the table opened last is closed, the outer one is near
+    assert "A note beside it" not in deep  # more than four levels below it
+    assert "A note beside it" in code and "A note beside it" not in far_code
+
+
+def test_full_stops_across_runs(spark):
+    """A short paragraph beside the article stays if it has a full stop before white space or at its end."""
+    main = f"<div><p>{TEXT * 4}</p><p>{TEXT * 4}</p></div>"
+    texts = article_text(spark, *[f"<section>{main}<p>{p}</p></section>" for p in (
+        "version 2.<b>0</b> of it", "it ends.<b> Here</b> it goes on", "it ends <b>here.</b>", "no stop at all")])
+    assert ["version 2.0" in texts[0], "it ends" in texts[1], "it ends" in texts[2], "no stop" in texts[3]] == [False, True, True, False]

@@ -10,6 +10,8 @@ from webquarry.options import DEFAULT_CONTEXT_LIMIT
 
 #: Bytes of a text whose windows are looked up from one row.
 CHUNK = 1024
+#: Bytes of a vocabulary that is sent to all tasks.
+LARGEST = 64 << 20
 
 
 def token_columns(df: DataFrame, text: str, limit: int = DEFAULT_CONTEXT_LIMIT) -> DataFrame:
@@ -20,16 +22,63 @@ def token_columns(df: DataFrame, text: str, limit: int = DEFAULT_CONTEXT_LIMIT)
     return df.withColumns({"report": X.limit_report(F.col("token_count"), limit), "budget": status})
 
 
-def token_count_vocab(df: DataFrame, vocab: DataFrame, key: str, text: str, encoding: str) -> DataFrame:
+def token_count_vocab(df: DataFrame, vocab: DataFrame, key: str, text: str, encoding: str, largest: int = LARGEST) -> DataFrame:
     """Tokens of every text by a vocabulary: ``key, token_count``.
 
     From left to right, among the known byte strings that start at a position the one of the
-    highest rank is taken, one byte if none is known. The different windows of a text are looked up by
-    an equality join; the known ones become a pattern whose alternatives stand by first byte and rank,
-    and the walk is one match of that pattern after the other. Only lengths that the vocabulary has
-    are tried.
+    highest rank is taken, one byte if none is known. A vocabulary of up to ``largest`` bytes goes to all tasks as a trie of bytes, and
+    each text is walked where it is read, without any shuffle; a larger one stays a table, see ``_by_windows``.
     """
     words = vocab.filter(F.col("encoding") == encoding)
+    size = words.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    if size > largest:
+        return _by_windows(df, words, key, text)
+    known = [(bytes.fromhex(r["bytes"]), r["rank"]) for r in words.select("bytes", "rank").collect()]
+    slim = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = slim.schema["key"].dataType.simpleString()
+    found = slim.mapInArrow(_walk(slim.sparkSession.sparkContext.broadcast(known)), f"key {kind}, token_count bigint")
+    return found.select(F.col("key").alias(key), "token_count")
+
+
+def _walk(shared):
+    def walk(batches):
+        import pyarrow as pa
+
+        # a node is a number; the child of a node by a byte, and the rank of the string that ends at a node
+        child, rank = {}, [None]
+        for word, of in shared.value:
+            node = 0
+            for b in word:
+                at = node << 8 | b
+                node = child.get(at)
+                if node is None:
+                    node = child[at] = len(rank)
+                    rank.append(None)
+            rank[node] = of
+        for batch in batches:
+            counts = []
+            for text in batch.column("text").to_pylist():
+                data, i, n = text.encode(), 0, 0
+                end = len(data)
+                while i < end:
+                    best, jump, node, j = -1, 1, 0, i
+                    while j < end and (node := child.get(node << 8 | data[j])) is not None:
+                        j += 1
+                        if (of := rank[node]) is not None and of > best:
+                            best, jump = of, j - i
+                    i, n = i + jump, n + 1
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.int64())], names=["key", "token_count"])
+
+    return walk
+
+
+def _by_windows(df: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
+    """The count by a vocabulary that is too large to be sent to all tasks.
+
+    The different windows of a text are looked up by an equality join; the known ones become a pattern whose alternatives stand by first
+    byte and rank, and the walk is one match of that pattern after the other. Only lengths that the vocabulary has are tried.
+    """
     sizes = F.coalesce(words.agg(F.sort_array(F.collect_set("n_bytes"))).scalar(), F.array(F.lit(1)))
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     n = F.octet_length("b")

@@ -62,7 +62,7 @@ def join_frames(frames: DataFrame, pages: DataFrame) -> DataFrame:
     frames = frames.withColumn("_key", F.when(same & ~F.col("sandboxed") & F.col("srcdoc").isNull(), address(F.col("src"))))
     wanted = frames.filter("_key IS NOT NULL").select("_key").distinct()
     own = pages.withColumn("_key", address(F.col("url"))).join(wanted, "_key", "left_semi")
-    docs = own.groupBy("_key").agg(F.min_by("html", "page_id").alias("doc"))
+    docs = own.groupBy("_key").agg(F.min_by("html", F.struct("page_id", F.xxhash64("html"))).alias("doc"))
     # a null key joins nothing and, as the left side of a join, is dealt to no single task by adaptive execution
     known = frames.filter("_key IS NOT NULL").join(docs, "_key", "left")
     rest = frames.filter("_key IS NULL").withColumn("doc", F.lit(None).cast("string"))

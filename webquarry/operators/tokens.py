@@ -126,14 +126,47 @@ def _body_start(toks: Column) -> Column:
 _OUTSIDE = r"(?i)^(<!|<\?|</[^a-zA-Z]|</?(html|head|body)\b)"
 
 
+def keyed(pages: DataFrame, html_tokens: bool = False) -> DataFrame:
+    """Pages with a ``page_id`` of their own, 16 bytes made once from id, address and HTML, and ``ref``, what to give back at the end.
+
+    Crawls repeat pages, and ids may repeat or be missing: pages that differ in anything are kept apart from here on, and equal
+    ones are converted once, with their number. This groups the raw pages in the one exchange that the conversion needs. ``restored``
+    brings the given ids back. Pages that have a key keep it.
+    """
+    if "ref" in pages.columns:
+        return pages
+    number = F.col("ord") if "ord" in pages.columns else F.lit(None)
+    row = [F.col("page_id").cast("string").alias("id"), number.cast("string").alias("ord"), F.col("url").alias("url"), F.col("html").alias("html")]
+    key = [F.lpad(F.hex(F.xxhash64(F.to_json(F.struct(*row[:3])), "html", F.lit(k))), 16, "0") for k in (0, 1)]
+    one = pages.groupBy(F.unhex(F.concat(*key)).alias("page_id")).agg(F.first(F.struct(*row)).alias("p"), F.count("*").alias("copies"))
+    tokens = X.token_estimate(F.col("p.html")) if html_tokens else F.lit(None).cast("bigint")
+    ref = F.struct(F.col("p.id").alias("id"), F.col("p.ord").alias("ord"), F.col("copies").alias("copies"), tokens.alias("html_tokens"))
+    return one.select("page_id", F.col("p.url").alias("url"), F.col("p.html").alias("html"), F.to_json(ref).alias("ref"))
+
+
+REF = "struct<id:string,ord:string,copies:bigint,html_tokens:bigint>"
+
+
+def restored(done: DataFrame, pages: DataFrame, html_tokens: bool = False) -> DataFrame:
+    """A row for each of the given pages, with the ids (and ``ord``) that they had."""
+    r = F.col("_r")
+    done = done.withColumn("_r", F.from_json("ref", REF)).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), r["copies"].cast("int"))))
+    done = done.withColumn("page_id", r["id"].cast(pages.schema["page_id"].dataType))
+    if "ord" in pages.columns:
+        done = done.withColumn("ord", r["ord"].cast(pages.schema["ord"].dataType))
+    if html_tokens:
+        done = done.withColumn("html_tokens", r["html_tokens"])
+    return done.drop("_r", "_copy", "ref")
+
+
 def spread(pages: DataFrame, by=PAGE) -> DataFrame:
-    """Spread the pages by key, before anything is exploded.
+    """Spread the pages by key, before anything is exploded; keyed ones are spread already.
 
     Without a number of partitions, so that adaptive execution sizes them: a few for a small
     table, ``spark.sql.shuffle.partitions`` of them (each up to the advisory size) for a large
     one. Pages that are bucketed by the key already need no exchange at all.
     """
-    return pages.repartition(*by)
+    return pages if "ref" in pages.columns else pages.repartition(*by)
 
 
 # what a row of the stream carries besides its place
@@ -162,10 +195,11 @@ def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = Non
         lambda t: ~t.rlike(_OUTSIDE),
     )
     own_base = M.own("href", base_tok)
+    ref = F.col("ref") if "ref" in pages.columns else F.lit(None).cast("string")
     page = pages.select(
         *by,
         F.struct(F.col("url"), title.alias("title"),
-                 F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1).alias("html_tok")).alias("head"),
+                 F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1).alias("html_tok"), ref.alias("ref")).alias("head"),
         F.when(own_base != "", U.absolutize(own_base, F.col("url"))).otherwise(F.col("url")).alias("base"),
         body_tok.alias("body_tok"),
         split_html(F.coalesce(html, F.lit(""))).alias("toks"),
@@ -198,7 +232,7 @@ def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = Non
     }).drop("base")
 
 
-HEAD = "struct<url:string,title:string,html_tok:string>"
+HEAD = "struct<url:string,title:string,html_tok:string,ref:string>"
 
 
 def show_lazy(tok: Column) -> Column:

@@ -10,10 +10,10 @@ from webquarry.functions import urls as U
 from webquarry.operators.frames import frame_docs, place_frames
 from webquarry.operators.prune import clean
 from webquarry.operators.render import render
-from webquarry.operators.tokens import page_nodes
+from webquarry.operators.tokens import keyed, page_nodes, restored
 from webquarry.options import Options
-from webquarry.plans.article import article_markdown
-from webquarry.plans.full_page import full_page_markdown
+from webquarry.plans.article import articles
+from webquarry.plans.full_page import full_pages
 from webquarry.sources.pages import scope_fragment
 
 
@@ -21,7 +21,7 @@ def convert(pages: DataFrame, opt: Options = Options(), fragments: DataFrame | N
     """Convert pages to Markdown, with the documents of their frames: in place, or at the end of an article.
 
     ``page_id, url, title, success, markdown, token_count, error_code, error_detail``, and ``ord`` if the pages
-    have one. Pages that cannot be converted stay as rows with ``success = false``.
+    have one. Pages that cannot be converted stay as rows with ``success = false``. Pages with repeated or no ids each have their row.
     """
     given = pages
     if opt.scope == "selection":
@@ -31,28 +31,31 @@ def convert(pages: DataFrame, opt: Options = Options(), fragments: DataFrame | N
     else:
         pages = pages.withColumn("error", F.lit(None).cast("string"))
     bad = pages.filter(F.col("error").isNotNull())
-    good = pages.filter(F.col("error").isNull()).select("page_id", "url", "html")
-    done = _converted(good, given, opt)
+    good = keyed(pages.filter(F.col("error").isNull()).drop("error"), opt.html_tokens)
+    done = restored(_converted(good, given, opt, fragments if opt.scope == "selection" else None), given, opt.html_tokens)
     failed = bad.select(
-        "page_id", "url", F.lit(None).cast("string").alias("title"), F.lit(False).alias("success"),
+        "page_id", "url", *[c for c in bad.columns if c == "ord"], F.lit(None).cast("string").alias("title"), F.lit(False).alias("success"),
         F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("bigint").alias("token_count"),
         X.classify_error(F.col("error")).alias("error_code"), F.col("error").alias("error_detail"))
-    done = done.unionByName(failed)
-    return done.join(given.select("page_id", "ord"), "page_id") if "ord" in given.columns else done
+    return done.unionByName(failed, allowMissingColumns=True)
 
 
-def _converted(pages: DataFrame, given: DataFrame, opt: Options) -> DataFrame:
-    # only pages with a frame are joined with anything before they are taken apart
+def _converted(pages: DataFrame, given: DataFrame, opt: Options, fragments: DataFrame | None = None) -> DataFrame:
+    # only pages with a frame are joined with anything before they are taken apart; a look for the first of them, which ends
+    # with it, spares a table without any half of the plan
     framed = F.coalesce(F.col("html").rlike(r"(?i)<iframe\b"), F.lit(False))
+    source = given if fragments is None else fragments.withColumnRenamed("fragment_html", "html")
+    if source.filter(framed).isEmpty():
+        return articles(pages, opt) if opt.scope == "mainContent" else full_pages(pages, opt)
     placed = place_frames(pages.filter(framed), frame_docs(pages.filter(framed), given), opt)
     plain = pages.filter(~framed)
     if opt.scope != "mainContent":
         notes = placed.select("page_id", F.lit("").alias("appended"), "frame_count")
-        return full_page_markdown(plain.unionByName(placed.drop("frame_count")), opt, notes)
+        return full_pages(plain.unionByName(placed.drop("frame_count")), opt, notes)
     ends = placed.filter("appended <> ''").select("page_id", "url", F.col("appended").alias("html"))
     more = render(clean(page_nodes(ends), opt), opt).select("page_id", F.col("markdown").alias("appended"))
     notes = placed.select("page_id", "frame_count").join(more, "page_id", "left")
-    return article_markdown(plain.unionByName(placed.drop("frame_count", "appended")), opt, notes)
+    return articles(plain.unionByName(placed.drop("frame_count", "appended")), opt, notes)
 
 
 def flag_lazy(pages: DataFrame, hosts=None) -> DataFrame:

@@ -522,7 +522,7 @@ def results_summary(spark, sf):
 """)
 def reduction_stats(spark, sf):
     p = pages(spark, sf)
-    return B.reduction_stats(p, full_page_markdown(p))
+    return B.reduction_stats(full_page_markdown(p, Options(scope="fullPage", html_tokens=True)))
 
 
 # ---------------------------------------------------------------- pages made from the other tables

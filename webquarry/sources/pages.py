@@ -58,6 +58,6 @@ def scope_fragment(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"),
                     F.coalesce("fragment_html", F.lit("")), F.lit("</body></html>"))
     return both.select(
-        "page_id", "url", html.alias("html"),
+        "page_id", "url", *[c for c in pages.columns if c == "ord"], html.alias("html"),
         F.when(F.coalesce(blank, F.lit(True)), F.lit(C.NO_SELECTION)).alias("error"),
     )
