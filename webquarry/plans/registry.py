@@ -185,21 +185,29 @@ def blocks_of_text(spark, sf):
     return b.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+def _inner(tag: str, before: str = "", inside: str = ".*?") -> str:
+    return f"""SELECT page_id, '{tag}' AS tag, unnest(regexp_extract_all(html, '(?s)<{tag}{before}>({inside})</{tag}>', 1)) AS part FROM pages"""
+
+
+_BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->|</body>|</html>', '', 'g')"
+
+
 @query(f"""
-  WITH x AS (
-    SELECT page_id, unnest(['nav', 'article', 'footer']) AS tag,
-      unnest([regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), regexp_extract(html, '(?s)<article>(.*)</article>', 1),
-              regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)]) AS part FROM pages),
-  y AS (SELECT page_id, tag, part, {_decoded("regexp_replace(part, '<[^>]*>', '', 'g')")} AS txt FROM x)
-  SELECT page_id, tag, length(trim(regexp_replace(txt, '\\s{{2,}}', ' ', 'g'))) AS text_len,
-    CASE WHEN tag = 'nav' THEN length(txt) * 10 ELSE 0 END AS link10,
+  WITH {_PARTS}, x AS (
+    {_inner('nav')} UNION ALL {_inner('ul')} UNION ALL {_inner('li')} UNION ALL {_inner('a', ' [^>]*')} UNION ALL {_inner('div', ' class="ad"')}
+    UNION ALL {_inner('article', inside='.*')} UNION ALL {_inner('h1')} UNION ALL {_inner('footer')}
+    UNION ALL SELECT page_id, 'p', part FROM parts UNION ALL SELECT page_id, 'b', substr(part, 4) FROM parts WHERE bold
+    UNION ALL SELECT page_id, 'body', {_BODY} FROM pages),
+  y AS (SELECT page_id, tag, part, {_decoded("regexp_replace(part, '<[^>]*>', '', 'g')")} AS txt,
+          length({_decoded("regexp_replace(regexp_extract(part, '(?s)<nav>(.*?)</nav>', 1), '<[^>]*>', '', 'g')")}) AS nav FROM x)
+  SELECT page_id, tag, length(trim(regexp_replace(txt, '\s{{2,}}', ' ', 'g'))) AS text_len,
+    CASE WHEN tag = 'body' THEN nav * 10 WHEN tag IN ('nav', 'ul', 'li', 'a') THEN length(txt) * 10 ELSE 0 END AS link10,
     length(txt) - length(replace(txt, ',', '')) AS commas,
     len(regexp_extract_all(part, '<[a-z]')) AS elements
   FROM y
 """)
 def node_features(spark, sf):
-    n = N.html_nodes(pages(spark, sf)).filter(F.col("tag").isin("nav", "article", "footer"))
-    return n.select("page_id", "tag", "text_len", "link10", "commas", "elements")
+    return N.html_nodes(pages(spark, sf)).select("page_id", "tag", "text_len", "link10", "commas", "elements")
 
 
 @query("""
@@ -456,7 +464,7 @@ def node_scores(spark, sf):
     rows = A.article_nodes(pages(spark, sf)).withColumn("attempt", F.lit(1))
     rows = with_features(cut(A.prune_walk(A.wrap_phrasing(rows))))
     c = score_candidates(rows, weigh=F.col("attempt") <= 2).filter("score36 IS NOT NULL")
-    return c.filter(F.col("tag").isin("article", "body")).select("page_id", "tag", F.col("score36").cast("bigint").alias("score36"))
+    return c.select("page_id", "tag", F.col("score36").cast("bigint").alias("score36"))
 
 
 # ---------------------------------------------------------------- batches
@@ -572,13 +580,16 @@ def titles_in_headings(spark, sf):
 
 
 @query("""
-  SELECT depth, ancestor, count(*) AS n FROM (
-    SELECT k AS depth, a AS ancestor, unnest(regexp_extract_all(html, '<li>')) AS li
-    FROM pages JOIN (VALUES (1, 'ul'), (2, 'nav'), (3, 'body')) v(k, a) ON true) GROUP BY ALL
+  SELECT tag, depth, ancestor, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(html, '<(div|nav|article|footer|ul|li|a|h1|p|b)[ >]', 1)) AS tag FROM pages)
+  JOIN (VALUES ('div', 1, 'body'), ('nav', 1, 'body'), ('article', 1, 'body'), ('footer', 1, 'body'), ('ul', 1, 'nav'), ('ul', 2, 'body'),
+    ('li', 1, 'ul'), ('li', 2, 'nav'), ('li', 3, 'body'), ('a', 1, 'li'), ('a', 2, 'ul'), ('a', 3, 'nav'), ('h1', 1, 'article'), ('h1', 2, 'body'),
+    ('p', 1, 'article'), ('p', 2, 'body'), ('b', 1, 'p'), ('b', 2, 'article'), ('b', 3, 'body')) v(tag, depth, ancestor) USING (tag) GROUP BY ALL
 """)
 def list_ancestors(spark, sf):
+    """How often an element of each kind has which kind of element one to three levels above it."""
     a = N.ancestors(T.page_nodes(pages(spark, sf)), 3)
-    return a.filter("tag = 'li'").groupBy("depth", "ancestor").agg(F.count("*").alias("n"))
+    return a.groupBy("tag", "depth", "ancestor").agg(F.count("*").alias("n"))
 
 
 # the walk along a text, one token a step; ranks are lengths, so the longest known string counts
