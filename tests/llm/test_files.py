@@ -20,18 +20,23 @@ def plain_words(text):
     return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def plain_scan(text):
+def plain_scan(text, templates=licenses.TEMPLATES):
     words, at, base, labels, score = plain_words(text), [], set(), set(), 0.0
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
         hits = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         at += hits
         base |= {label} if hits else set()
-    for label, template in licenses.TEMPLATES.items():
-        t = plain_words(template)
-        kinds, size = set(t), min(len(words), -(-len(t) * 5 // 4))
-        share = max((len(kinds & set(words[i : i + size])) / len(kinds) for i in range(len(words) - size + 1)), default=0)
-        if share >= licenses.THRESHOLD - 1e-9:
+    all_kinds = {label: set(plain_words(template)) for label, template in templates.items()}
+    for label, template in templates.items():
+        t, kinds = plain_words(template), all_kinds[label]
+        size, need = min(len(words), -(-len(t) * 5 // 4)), len(kinds) * licenses.THRESHOLD - 1e-9
+        rivals = [k for k in all_kinds.values() if k != kinds and len(k & kinds) >= need]
+        own = [kinds - k for k in rivals if kinds - k]
+        foreign = set().union(*(k - kinds for k in rivals if kinds < k))
+        blocks = (set(words[i : i + size]) for i in range(len(words) - size + 1))
+        share = max((len(kinds & b) / len(kinds) for b in blocks if not b & foreign and all(b & o for o in own)), default=0)
+        if share * len(kinds) >= need:
             labels.add(label)
             score = max(score, share)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score
@@ -66,6 +71,24 @@ def test_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_creative_commons_told_apart(spark):
+    notice = "This work is licensed under a Creative Commons {} 4.0 International License"
+    kinds = {"cc-by": "Attribution", "cc-by-nc": "Attribution-NonCommercial", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike"}
+    docs = spark.createDataFrame([(i, notice.format(k)) for i, k in enumerate(kinds.values())], "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == list(kinds)
+
+
+def test_many_templates(spark):
+    """300 templates from one small vocabulary, so that prefixes hit often and blocks nearly match."""
+    rnd = random.Random(8)
+    made = {f"t{k}": " ".join(rnd.sample([f"w{i}" for i in range(60)], rnd.randint(3, 12))) for k in range(300)}
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(60)] + ["other"] * 30, k=rnd.randint(0, 60))) for _ in range(60)] + list(made.values())[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(docs, templates=made).collect()}
+    want = {i: plain_scan(t, made) for i, t in enumerate(texts)}
+    assert got == {i: (w[5], round(w[6], 9)) for i, w in want.items()}
+
+
 def test_scan_of_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: tuple(r)[1:] for r in registry.QUERIES["op5_licenses"](spark, SF).collect()}
@@ -116,6 +139,48 @@ def test_file_of_odd_texts(spark, library, shard, tmp_path):
     assert "PushedFilters: [In(doc_id" in plan
 
 
+def test_specials_in_all_forms(spark, library, tmp_path):
+    """Special tokens are matched as they are written; letters with marks are joined before they are lowered."""
+    rnd, signs = random.Random(4), ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|Endoftext|>", "<|STARTOFTEXT|>", "<|", "|>", " ", "a", "Z", "H\u0331", "T\u0308", "é", ".", "'S", "!"]
+    texts = ["<|ENDOFTEXT|>", "<|Endoftext|>", "x<|ENDOFTEXT|>y", "H\u0331 W\u030a J\u030c"] + ["".join(rnd.choices(signs, k=8)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    tokenfile.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted(tuple(r) for r in tokenfile.positions(spark, path).collect()) == plain_positions(library, list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("ids", ["none", "hot", "both", "copies"])
+def test_many_rows_of_one_id(spark, library, tmp_path, ids):
+    """No task gets all rows of an id, or of none, and the files hold the ids in ascending order of ids."""
+    id_of = {"none": lambda k: None, "hot": lambda k: 7 if k % 3 else k, "both": lambda k: None if k % 3 == 0 else 7 if k % 3 == 1 else k, "copies": lambda k: 5}[ids]
+    rows = [(id_of(k), "same" if ids == "copies" else f"text {k * 7919 % 1000}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "ids")
+    tokenfile.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), shard=20)
+    read = tokenfile.read(spark, path)
+    assert max(r["count"] for r in read.groupBy("shard").count().collect()) <= 90
+    assert read.select("shard").distinct().count() >= 8
+    found = sorted((tuple(r) for r in tokenfile.positions(spark, path).collect()), key=lambda r: r[1])
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert found == sorted(found, key=key)  # starts ascend with ids
+    starts = [r[1] for r in found]
+    assert starts == [sum(r[2] for r in found[:k]) for k in range(len(found))]
+    content = lambda rows: sorted((r[0] or -1, *r[2:]) for r in rows)
+    assert content(found) == content(plain_positions(library, rows))
+
+
+def test_ids_beside_nulls(spark, tmp_path):
+    """Ids beyond 2**53 in one batch with a null id stay as they are, in all operators that work on texts."""
+    from webquarry.llm import bpe, simhash, substring
+
+    ids = [2**60 + 1, None, 2**53 + 1, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "some words of a text") for i in ids], "doc_id long, text string").coalesce(1)
+    vocabulary = bpe.Vocabulary({bytes([b]): b for b in range(256)})
+    tokenfile.write(docs, str(tmp_path / "ids"), public_tokenizers.path("word_bpe_49k.json"))
+    for found in (licenses.scan(docs), bpe.digest(docs, vocabulary, "."), bpe.encode(docs, vocabulary, "."), simhash.near_duplicates(docs), substring.digest(docs), tokenfile.positions(spark, str(tmp_path / "ids"))):
+        assert {r["doc_id"] for r in found.collect()} == set(ids)
+
+
 def test_empty_file_and_repeated_ids(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     tokenfile.write(empty, str(tmp_path / "a"), public_tokenizers.path("word_bpe_49k.json"))

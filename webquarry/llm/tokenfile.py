@@ -4,11 +4,13 @@ Format. A folder of ORC files, one shard of the id order each (partition column
 doc_id. ORC holds whole numbers run-length encoded, an index every 10,000 rows, stripes of `STRIPE` bytes that tasks read side by side, and a
 Bloom filter on doc_id: a lookup reads the stripes whose bounds and filter let an id pass.
 
-Scale. Bounds of the shards come from quantiles of doc_id alone; texts are encoded where they are read, and only ids are shuffled, each shard to
-one task of bounded size. Starts are running sums inside a shard plus the sums of the shards before.
+Scale. Bounds of the shards come from ranges of doc_id alone; texts are encoded where they are read, and only ids are shuffled, each shard to
+one task of bounded size. The rows of one id, or of none, are dealt to several shards when they are many. Starts are running sums inside a shard plus the sums
+of the shards before.
 
 Defined results: a null text is an empty one and has the end id only; rows without an id come first; rows that repeat an id stand next to each
-other, by size and sum; an empty table gives an empty file; other columns are not looked at.
+other, in any order; strings of special tokens have their ids where they are written exactly so; an empty table gives an empty file; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +27,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webquarry.llm import common
+from webquarry.llm.triebpe import byte_characters
 
 END = 1
-#: Documents of a shard, about.
-SHARD = 8192
+#: Documents of a shard, about, and the number of shards from which they get larger instead.
+SHARD, SHARDS = 8192, 20_000
+#: Before all ids, and after all of the rest of a place.
+_LEAST, _ALL = -(1 << 63) - 1, 1 << 63
 STRIPE = 16 << 20
 #: Words that a worker keeps with their ids, in each of two generations.
-MEMO = 350_000
+MEMO = 300_000
 
 
-def bounds(docs: DataFrame, doc_id: str, shard: int = SHARD) -> list:
-    """Greatest id of each shard but the last."""
+def bounds(docs: DataFrame, doc_id: str, text: str = "text", shard: int = SHARD, most: int = SHARDS) -> list[tuple]:
+    """The last place of each shard but the last, as (id, size and hash of the text, number): places are ordered like that, none before all ids.
+
+    Ids are sorted by ranges, and a row a range comes back. An id, or none, with more rows than two shards has its rows sorted further;
+    the number parts even equal rows."""
     n = docs.count()
-    shards = max(1, math.ceil(n / shard))
-    if shards == 1:
+    shard = max(shard, math.ceil(n / most))
+    if n <= shard:
         return []
-    at = [k / shards for k in range(1, shards)]
-    return sorted(set(docs.agg(F.percentile_approx(doc_id, at, 100 * shards)).first()[0]))
+    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    hot = slim.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+    hot = {r["id"]: r["n"] for r in hot.collect()}  # not more than half as many as there are shards
+    order = ["id", "size", "hash", "number"]
+    ranges = slim.select("id").where(F.col("id").isNotNull()).repartitionByRange(math.ceil(n / shard), "id")
+    last = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("id")).collect()
+    found = [(r["id"], _ALL, _ALL, _ALL) for r in last]
+    if hot:
+        rows = slim.where(F.col("id").isin([i for i in hot if i is not None]) | (F.col("id").isNull() & F.lit(None in hot)))
+        rows = rows.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+        ranges = rows.repartitionByRange(math.ceil(sum(hot.values()) / shard), *order)
+        last = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct(*order)).alias("m")).select("m.*").collect()
+        found += [(_LEAST if r["id"] is None else r["id"], r["size"], r["hash"], r["number"]) for r in last]
+        if None in hot:
+            found.append((_LEAST, _ALL, _ALL, _ALL))
+    return sorted(set(found))[:-1]
 
 
 class _Words(dict):
@@ -49,65 +72,110 @@ class _Words(dict):
     Of two generations: when the young one is full it becomes the old one, from which words in use come back, so no more than twice
     MEMO words are kept.
 
-    New words of letters only are encoded in one go, a space between them: each is one piece of the tokenizer's pattern, and the last
-    token of a piece is one with the vocabulary's end mark. All other words are encoded one by one."""
+    New words of letters only are merged in one go, a space between them: each is one piece of the tokenizer's pattern, and the last
+    token of a piece is one with the vocabulary's end mark. A word that ends in marks has the ids of the word and of the marks. All other words
+    go through the tokenizer one by one."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.old = tokenizer, {}
-        model = json.loads(tokenizer.to_str())["model"]
+        told = json.loads(tokenizer.to_str())
+        model = told["model"]
+        # the same model without the steps that do nothing to such words
+        self.merging = type(tokenizer).from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.characters = {b: c for b, c in byte_characters().items() if b != 32}
         self.mark = model["end_of_word_suffix"]
         self.last = np.zeros(max(model["vocab"].values()) + 1000, bool)
         self.last[[i for t, i in model["vocab"].items() if t.endswith(self.mark)]] = True
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > MEMO:
+    def ids(self, words: list[list[bytes]]) -> list[list[bytes]]:
+        """Ids of the words of some texts; each word is looked up once, and once more only if it was new."""
+        found = [[*map(self.get, own)] for own in words]
+        gaps = [[k for k, ids in enumerate(got) if ids is None] for got in found]
+        self.learn({own[k] for own, at in zip(words, gaps) for k in at})
+        for own, got, at in zip(words, found, gaps):
+            for k in at:
+                got[k] = self[own[k]]
+        return found
+
+    def learn(self, missing: set[bytes]) -> None:
+        if len(self) + len(missing) > MEMO:
             self.old = dict(self)
             self.clear()
-        new = []
-        for w in words:
-            if w not in self:
-                if w in self.old:
-                    self[w] = self.old[w]
-                else:
-                    new.append(w)
-        texts = [w.decode() for w in new]
-        plain = [t.isalpha() and t.lower().isalpha() for t in texts]
+        old, wanted, marked = self.old, set(), []
+        for w in missing:
+            if (known := old.get(w)) is not None:
+                self[w] = known
+            elif w[-1] in _MARK and (found := _MARKS.search(w)):
+                parts = w, w[: found.start()], found[0]
+                marked.append(parts)
+                wanted.update(p for p in parts[1:] if p not in self)
+            else:
+                wanted.add(w)
+        for w in [w for w in wanted if w in old]:
+            self[w] = old[w]
+            wanted.discard(w)
+        self._encode(list(wanted))
+        for w, word, marks in marked:
+            self[w] = self[word] + self[marks]
+
+    def _encode(self, new: list[bytes]) -> None:
+        texts = [w.decode().lower() for w in new]
+        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
         joined, own = [k for k, p in enumerate(plain) if p], [k for k, p in enumerate(plain) if not p]
         parts = [joined[at : at + 500] for at in range(0, len(joined), 500)]
-        lines = [" ".join([texts[k] for k in part]) for part in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        lines = [" ".join([texts[k] for k in part]).encode().decode("latin-1").translate(self.characters) for part in parts]
+        for part, found in zip(parts, self.merging.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                data, stops = ids.tobytes(), (4 * ends).tolist()
-                for k, a, b in zip(part, [0, *stops], stops):
-                    self[new[k]] = data[a:b]
-            else:
+            stops = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(stops) != len(part):
                 own += part
+                continue
+            data, a = ids.tobytes(), 0
+            for k, b in zip(part, stops):
+                self[new[k]] = data[a:b]
+                a = b
         for at in range(0, len(own), 1000):
             part = own[at : at + 1000]
-            for k, found in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+            for k, found in zip(part, self.tokenizer.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False)):
                 self[new[k]] = np.array(found.ids, "<u4").tobytes()
 
 
+#: A word of letters below U+0180, in lower case: one piece of the tokenizer's pattern, and in normal form.
+_PLAIN = re.compile("[a-zªµºß-öø-ſ]+")
 #: Prose marks after a letter (of ASCII or Latin-1) or digit, at the end of a word: a piece of their own in the tokenizer's pattern.
-_MARKS = re.compile(rb"[.,;:!?](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?]*(?= |\Z)")
+_MARKS = re.compile(rb"[.,;:!?](?:(?<=[0-9A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?]*\Z")
+_MARK = frozenset(b".,;:!?")
 #: What a Python worker has learnt, by the tokenizer's text: the next task goes on with it.
 _KEPT: dict[str, _Words] = {}
 
 
 def _words(text: str | None) -> Iterator[list[bytes]]:
-    """Words of a text in lower case (A-Z, as the tokenizer does), marks at their ends apart, a megabyte at a time."""
-    for chunk in common.word_chunks((text or "").encode().lower()):
-        yield _MARKS.sub(rb" \g<0>", b" ".join(chunk)).split()
+    """Words of a text, a megabyte at a time.
 
+    A-Z are lowered here only where that is what the tokenizer does: its special tokens are found first, as they are written, and it joins letters with
+    marks above and below them before it lowers letters, and not all lower letters have the forms of upper ones."""
+    data = (text or "").encode()
+    if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+        data = data.lower()
+    return common.word_chunks(data)
 
-def encode(docs: DataFrame, path: str, edges: list, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, edges: list[tuple], doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """shard, doc_id, n_tokens, ids, crc: the whole texts by a tokenizer of the tokenizers library, the end id after each.
 
     White space has no ids in the vocabulary and separates pieces, so words are encoded once and looked up from then on."""
     with open(path) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    # an id whose rows fill several shards needs the rest of its place
+    split = any(e[1] != _ALL for e in edges)
+    last = np.array([e[0] for e in edges if e[0] != _LEAST], np.int64)
+
+    def shards(part) -> np.ndarray:
+        if not split:
+            known = part.column("doc_id")
+            return np.where(known.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(last, known.fill_null(0).to_numpy(), "left"))
+        places = zip(*(part.column(c).to_pylist() for c in ("doc_id", "size", "hash", "number")))
+        return np.array([bisect_left(edges, (_LEAST if i is None else i, *rest)) for i, *rest in places])
 
     def run(batches):
         import os
@@ -124,23 +192,21 @@ def encode(docs: DataFrame, path: str, edges: list, doc_id: str = "doc_id", text
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                split = [[w for chunk in _words(t) for w in chunk] for t in part.column("text").to_pylist()]
-                memo.learn({w for words in split for w in words})
-                ids = [b"".join([*map(memo.__getitem__, words), stop]) for words in split]
+                words = [[w for chunk in _words(t) for w in chunk] for t in part.column("text").to_pylist()]
+                ids = [b"".join(own) + stop for own in memo.ids(words)]
                 sizes = np.array([len(i) // 4 for i in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                known = part.column("doc_id")
-                shards = np.searchsorted(edges, known.fill_null(-(2**63)).to_numpy(), "left") if edges else np.zeros(len(ids), int)
-                arrays = [pa.array(shards.astype(np.int32)), known, pa.array(sizes), lists, pa.array([zlib.crc32(i) for i in ids], pa.int64())]
+                arrays = [pa.array(shards(part).astype(np.int32)), part.column("doc_id"), pa.array(sizes), lists, pa.array([zlib.crc32(i) for i in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "n_tokens", "ids", "crc"])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    places = [F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("hash"), F.monotonically_increasing_id().alias("number")]
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(places if split else []))
     return slim.mapInArrow(run, "shard int, doc_id long, n_tokens long, ids array<int>, crc long")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> None:
     """Write the documents' ids as a folder of ORC files."""
-    edges = bounds(docs, doc_id, shard)
+    edges = bounds(docs, doc_id, text, shard)
     encoded = encode(docs, tokenizer, edges, doc_id, text)
     ordered = encoded.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "crc").drop("crc")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(STRIPE), "compression": "zstd"}
