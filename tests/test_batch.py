@@ -334,3 +334,14 @@ def test_full_stops_across_runs(spark):
     texts = article_text(spark, *[f"<section>{main}<p>{p}</p></section>" for p in (
         "version 2.<b>0</b> of it", "it ends.<b> Here</b> it goes on", "it ends <b>here.</b>", "no stop at all")])
     assert ["version 2.0" in texts[0], "it ends" in texts[1], "it ends" in texts[2], "no stop" in texts[3]] == [False, True, True, False]
+
+
+def test_addresses_of_media(spark):
+    """Sources, posters and source sets of an article's media are absolute in what is kept as HTML."""
+    media = """<video class="v" poster='/p$1.jpg?a=1&amp;b="2' src=v.mp4 data-src="w.mp4"><source srcset="a.png 1x, /b.png 2x"></video>"""
+    html = f"<html><head><title>A title for this page</title></head><body><div><p>{TEXT * 9}</p><p>{TEXT}{media}</p></div></body></html>"
+    pages = spark.createDataFrame([(1, "https://e.com/d/x", html)], "page_id bigint, url string, html string")
+    got = convert(pages, Options(metadata=False, title=False, keep=("video",))).first().markdown
+    assert 'poster="https://e.com/p$1.jpg?a=1&amp;b=%222"' in got or 'poster="https://e.com/p$1.jpg?a=1&amp;b=&quot;2"' in got
+    assert ' src="https://e.com/d/v.mp4"' in got and 'data-src="w.mp4"' in got
+    assert 'srcset="https://e.com/d/a.png 1x, https://e.com/b.png 2x"' in got

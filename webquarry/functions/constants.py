@@ -164,3 +164,6 @@ META_NAME = (
     r"(?i)^\s*(?:(dc|dcterm|og|twitter|parsely|weibo:(article|webpage))\s*[-.:]\s*)?"
     r"(author|creator|pub-date|description|title|site_name)\s*$"
 )
+
+# Media tags whose addresses are resolved in an article.
+MEDIA_TAGS = ["img", "picture", "figure", "video", "audio", "source"]

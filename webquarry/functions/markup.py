@@ -62,6 +62,11 @@ def own(name: str, tok: str | Column = "tok") -> Column:
     return F.coalesce(F.btrim(F.regexp_extract(tok, pattern, 1), F.lit("\"'")), F.lit(""))
 
 
+def before_value(name: str) -> str:
+    """Pattern of a tag up to the end of an attribute's value; its first group is what stands before the attribute."""
+    return _upto(name).replace("^", "^(", 1) + ")" + name + r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def has_attr(name: str) -> Column:
     return F.coalesce(F.col("tok").rlike(_upto(name) + name + r"(?:[\s=/>])"), F.lit(False))
 

@@ -225,6 +225,9 @@ def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = Non
     titled = F.when(start & (tag.isin("a") | with_src), F.nullif(M.own("title"), F.lit("")))
     label = F.when(start & (tag == "img"), F.nullif(M.own("alt"), F.lit("")))
     rows = rows.withColumns({"url": given, "label": label, "hint": titled})
+    if lazy:
+        media = start & tag.isin(C.MEDIA_TAGS)
+        rows = rows.withColumn("tok", F.when(media, resolved_media(F.col("tok"), F.col("base"))).otherwise(F.col("tok")))
     return rows.withColumns({
         "url": U.absolutize(X.decode_entities(F.col("url")), F.col("base")),
         "label": X.decode_entities(F.col("label")),
@@ -235,6 +238,18 @@ def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = Non
 HEAD = "struct<url:string,title:string,html_tok:string,ref:string>"
 
 
+def resolved_media(tok: Column, base: Column) -> Column:
+    """The source of a media tag with absolute addresses in ``src``, ``poster`` and, each with its descriptor, ``srcset``."""
+    for name, resolve in (("src", U.absolutize), ("poster", U.absolutize), ("srcset", U.absolutize_srcset)):
+        given = M.own(name, tok)
+        value = resolve(X.decode_entities(given), base)
+        for sign, written in (("&", "&amp;"), ('"', "&quot;"), ("\\", "\\\\"), ("$", "\\$")):
+            value = F.replace(value, F.lit(sign), F.lit(written))
+        put = F.regexp_replace(tok, F.lit(M.before_value(name)), F.concat(F.lit(f'$1{name}="'), value, F.lit('"')))
+        tok = F.when(given != "", put).otherwise(tok)
+    return tok
+
+
 def show_lazy(tok: Column) -> Column:
     """The image that a lazily loaded element will show becomes its ``src``."""
     src, cls = M.own("src", tok), F.lower(M.own("class", tok))
