@@ -1,5 +1,6 @@
 """License scans, token files and quality posteriors against brute force and the public library."""
 
+import math
 import random
 import re
 import zlib
@@ -201,10 +202,8 @@ def test_quality_of_held_out_labels(spark):
     assert full.count() == docs.count() and full.select("doc_id").distinct().count() == docs.count()
 
 
-def test_posteriors_against_brute_force(spark):
-    rnd = random.Random(8)
-    rows = [(rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice(["x", "y", None]), rnd.random() ** (3 if k % 3 else 1)) for k in range(300)] + [("rare", "x", 0.01)]
-    got = {(r["host"], r["path"]): (r["host_posterior"], r["path_posterior"]) for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
+def plain_posteriors(rows):
+    """Mean, strengths and evidence by host and by (host, path) of rows (host, path, evidence)."""
     by = lambda keys: {k: [r[2] for r in rows if keys(r) == k] for k in {keys(r) for r in rows}}
     hosts, paths = by(lambda r: r[0]), by(lambda r: r[:2])
     total = len(rows)
@@ -219,11 +218,41 @@ def test_posteriors_against_brute_force(spark):
 
     k0 = strength(hosts, lambda k: mean, 1)
     k1 = strength(paths, lambda k: sum(hosts[k[0]]) / len(hosts[k[0]]), len(hosts))
+    return mean, k0, k1, hosts, paths
+
+
+def test_posteriors_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice(["x", "y", None]), rnd.random() ** (3 if k % 3 else 1)) for k in range(300)] + [("rare", "x", 0.01)]
+    got = {(r["host"], r["path"]): (r["host_posterior"], r["path_posterior"]) for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
+    mean, k0, k1, hosts, paths = plain_posteriors(rows)
     for (h, p), v in paths.items():
         host = (k0 * mean + sum(hosts[h])) / (k0 + len(hosts[h]))
         assert got[h, p] == pytest.approx((host, (k1 * host + sum(v)) / (k1 + len(v))))
 
 
+def test_judgement_against_brute_force(spark):
+    """Each row by the others of its site: the only one of a path, or of a host, goes by what is above it."""
+    rnd = random.Random(9)
+    words = ["word", "Text", "of", "a", "12", "%$", "line.\n"]
+    docs = [(k, " ".join(rnd.choices(words, k=rnd.randint(1, 40))), rnd.choice(["a", "a", "b", None]), rnd.choice(["x", "y", None])) for k in range(200)]
+    docs += [(200, "alone here.", "rare", "x"), (201, None, "a", "once")]
+    x = np.array([quality.features(d[1]) for d in docs])
+    model = quality.Regression(x, (x[:, 0] + np.arange(len(x)) % 3 > 3).astype(float))
+    evidence = model.predict(x).tolist()
+    mean, k0, k1, hosts, paths = plain_posteriors([(d[2], d[3], e) for d, e in zip(docs, evidence)])
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.judge(table, model, F.col("source"), F.col("lang")).collect()}
+    assert len(got) == len(docs)
+    odds = lambda p: math.log(p / (1 - p))
+    for (k, _, h, p), e in zip(docs, evidence):
+        host = (k0 * mean + sum(hosts[h]) - e) / (k0 + len(hosts[h]) - 1)
+        path = (k1 * host + sum(paths[h, p]) - e) / (k1 + len(paths[h, p]) - 1)
+        want = 1 / (1 + math.exp(-odds(e) - odds(path) + odds(mean)))
+        assert tuple(got[k])[1:5] == pytest.approx((e, host, path, want), rel=1e-6) and got[k]["kept"] == (got[k]["quality"] >= quality.KEEP)
+    assert got[200]["host_posterior"] == pytest.approx(mean)
+
+
 def test_quality_of_odd_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None, "a", "x", 1), (2, "", None, None, 1), (None, "Some text. " * 100, "a", "x", 1), (2, "", None, None, 1)], "doc_id long, text string, source string, lang string, evidence int")
     none = quality.judge(docs, None, F.col("source"), F.col("lang")).collect()

@@ -3,7 +3,8 @@
 Method. A logistic regression over `FEATURES` of the text gives each document's evidence, the probability of good quality. Evidence is summed up
 by path and by host. A host's posterior is a beta posterior around the global mean, a path's one around its host's posterior; how strongly
 they shrink is estimated from all sites by the method of moments (spread between sites against spread inside), so sparse sites stay near
-their parent. A document's quality is its evidence moved by the log odds of its path against the global mean.
+their parent. A document's quality is its evidence moved by the log odds of its path against the global mean; both posteriors leave the document's
+own evidence out, so that it counts once, however small its site is.
 
 The regression is fitted on the driver on a bounded sample, about `SAMPLE` labelled documents by the hash of their id; evidence, sums and
 posteriors cover all documents. Only three sums a level are collected; hosts are never one group in a task.
@@ -144,7 +145,7 @@ def _strength(sites: DataFrame, p: str, n: str, parent: Column, mean: float, par
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, host_posterior, path_posterior, prior from rows (host, path, evidence)."""
+    """host, path, host_posterior, path_posterior, prior from rows (host, path, evidence), with the sums (p, n, hp, hn) and strengths they are made of."""
     paths = common.cut(scored.groupBy("host", "path").agg(F.sum("evidence").alias("p"), F.count("*").alias("n")))
     hosts = common.cut(paths.groupBy("host").agg(F.sum("p").alias("hp"), F.sum("n").alias("hn")))
     p, n, count = (float(x or 0) for x in hosts.agg(F.sum("hp"), F.sum("hn"), F.count("*")).first())
@@ -154,7 +155,14 @@ def posteriors(scored: DataFrame) -> DataFrame:
     both = paths.join(own, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
     path_weight = _strength(both, "p", "n", F.col("hp") / F.col("hn"), mean, int(count))
     posterior = (F.lit(path_weight) * F.col("host_posterior") + F.col("p")) / (F.lit(path_weight) + F.col("n"))
-    return both.select("host", "path", "host_posterior", posterior.alias("path_posterior"), F.lit(mean).alias("prior"))
+    strengths = [F.lit(host_weight).alias("host_weight"), F.lit(path_weight).alias("path_weight")]
+    return both.select("host", "path", "host_posterior", posterior.alias("path_posterior"), F.lit(mean).alias("prior"), "p", "n", "hp", "hn", *strengths)
+
+
+def _without(weight: str, parent: Column, total: str, n: str) -> Column:
+    """A posterior without the evidence of the row itself."""
+    rest = F.greatest(F.col(total) - F.col("evidence"), F.lit(0.0))
+    return (F.col(weight) * parent + rest) / (F.col(weight) + F.col(n) - 1)
 
 
 def _odds(p: Column) -> Column:
@@ -163,12 +171,14 @@ def _odds(p: Column) -> Column:
 
 
 def judge(docs: DataFrame, model: Regression | None, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, quality, kept for each row."""
+    """doc_id, evidence, host_posterior, path_posterior, quality, kept for each row; its posteriors are those of the other rows of its site."""
     score = evidence(docs.sparkSession, model)
     scored = common.cut(docs.select(F.col(doc_id).alias("doc_id"), host.alias("host"), path.alias("path"), score(F.col(text)).alias("evidence")))
-    sites = common.cut(posteriors(scored).withColumnsRenamed({"host": "__host", "path": "__path"}))
+    sites = common.cut(posteriors(scored).drop("host_posterior", "path_posterior").withColumnsRenamed({"host": "__host", "path": "__path"}))
     small = F.broadcast(sites) if sites.count() <= SMALL else sites
     both = scored.join(small, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")))
+    both = both.withColumn("host_posterior", _without("host_weight", F.col("prior"), "hp", "hn"))
+    both = both.withColumn("path_posterior", _without("path_weight", F.col("host_posterior"), "p", "n"))
     odds = _odds(F.col("evidence")) + _odds(F.col("path_posterior")) - _odds(F.col("prior"))
     quality = 1 / (1 + F.exp(-odds))
     found = both.withColumn("quality", quality)
