@@ -1,6 +1,7 @@
 """Names, merges, summaries, vocabulary counts, sinks, streams and frames."""
 
 import json
+import re
 import random
 import time
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webquarry.operators import batch as B
 from webquarry.operators.budget import token_count_vocab
+from webquarry.operators.frames import page_frames
 from webquarry.operators.metadata import metadata_table
 from webquarry.operators.tokens import size_report
 from webquarry.options import Options
@@ -345,3 +347,65 @@ def test_addresses_of_media(spark):
     assert 'poster="https://e.com/p$1.jpg?a=1&amp;b=%222"' in got or 'poster="https://e.com/p$1.jpg?a=1&amp;b=&quot;2"' in got
     assert ' src="https://e.com/d/v.mp4"' in got and 'data-src="w.mp4"' in got
     assert 'srcset="https://e.com/d/a.png 1x, https://e.com/b.png 2x"' in got
+
+
+NESTED = f"<p>{TEXT * 9}</p><p>{TEXT}</p>"
+DEEP = 300
+TINY = "data:image/gif;base64,R0lGODlhAQABAAAAACw="
+#: bodies and the containers that are left of them
+CONTAINERS = {
+    f"<div id='a' lang='de'> <div id='b' data-x='1 &amp; 2'>\n<section id='c' lang='fr' data-y=3>{NESTED}</section></div> </div>":
+        '<section id="a" lang="de" data-x="1 &amp; 2" data-y="3"></section>',
+    f"<div id='a'><section id='b'>{NESTED}<section id='c'> <br> </section><div id='d'><div id='e'></div></div></section></div>": '<section id="a"></section>',
+    f"<div id='a'><section id='b'>words <section id='c'>{NESTED}</section></section></div>": '<section id="a"></section>',
+    f"<div id='a'><section id='b'>words<section id='c'>{NESTED}</section></section></div>": '<section id="a"><section id=\'c\'></section></section>',
+    f"<div id='a'>{NESTED}<div id='b'><div id='c'>{NESTED}</div><div id='d'>{NESTED}</div></div></div>":
+        "<div id='a'><div id='b'><div id='c'></div><div id='d'></div></div></div>",
+    "".join(f"<div id='{k}' data-{k}='{k}'>" for k in range(DEEP)) + NESTED + "</div>" * DEEP:
+        '<div id="0"' + "".join(f' data-{k}="{k}"' for k in range(DEEP)) + "></div>",
+}
+#: bodies and the images and figures that are left of them
+IMAGES = {
+    "<img data-src='a.jpg'>": '<img src="https://e.com/d/a.jpg" data-src=\'a.jpg\'>',
+    "<img data-a='a.jpg' data-b='/b.png'>": '<img src="https://e.com/b.png" data-a=\'a.jpg\' data-b=\'/b.png\'>',
+    "<img src='x.gif' data-src='a.jpg'>": '<img src="https://e.com/d/x.gif" data-src=\'a.jpg\'>',
+    "<img class='Lazy' src='x.gif' data-src='a.jpg'>": '<img src="https://e.com/d/a.jpg" data-src=\'a.jpg\'>',
+    "<img data-set='a.jpg 1x, b.jpg 2x'>": '<img srcset="https://e.com/d/a.jpg 1x, https://e.com/d/b.jpg 2x" data-set=\'a.jpg 1x, b.jpg 2x\'>',
+    f"<img src='{TINY}' data-src='a.jpg'>": '<img src="https://e.com/d/a.jpg" data-src=\'a.jpg\'>',
+    "<img data-x=1>": "",
+    "<figure data-src='a.jpg' data-b='b.jpg'><figcaption>c</figcaption></figure>": "<figure data-src='a.jpg' data-b='b.jpg'><img src=\"https://e.com/d/a.jpg\"></figure>",
+    "<figure data-set='a.jpg 1x'><i>c</i></figure>": "<figure data-set='a.jpg 1x'><img srcset=\"https://e.com/d/a.jpg 1x\"></figure>",
+    "<figure data-src='a.jpg'><img src='b.jpg'></figure>": "<figure data-src='a.jpg'><img src=\"https://e.com/d/b.jpg\"></figure>",
+    "<img src='s.jpg' alt=''><noscript><img src='l.jpg'></noscript>": '<img src="https://e.com/d/l.jpg" data-old-src="s.jpg">',
+    "<img src='s.jpg' data-x='t.png' width=1><noscript><img src='s.jpg' /></noscript>": '<img src="https://e.com/d/s.jpg" data-x="t.png">',
+    "<img alt='no source'><noscript><img src='l.jpg'></noscript>": "",
+    "<p><img src='s.jpg'></p> <noscript><img srcset='l.jpg 2x'></noscript>": '<img srcset="https://e.com/d/l.jpg 2x" src="https://e.com/d/s.jpg">',
+}
+
+
+def test_nested_containers_and_lazy_images(spark):
+    """A container around nothing but a container becomes it, the outermost attributes first, in a chain of any depth; containers without content go.
+
+    Images take what their other attributes name, figures without one get it, and a noscript image takes over the old one's addresses."""
+    bodies = [*CONTAINERS, *[f"<div><p>{TEXT * 9}</p><p>{TEXT}</p>{c}<p>{TEXT * 9}</p></div>" for c in IMAGES]]
+    pages = spark.createDataFrame([(i, "https://e.com/d/x", f"<html><head><title>A title for this page</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)],
+                                  "page_id bigint, url string, html string")
+    opt = Options(metadata=False, title=False, keep=("div", "section", "img", "figure"))
+    rows = convert(pages, opt).select("page_id", "markdown").collect()
+    tags = ["".join(re.findall(r"<[^>]*>", m)) for _, m in sorted(map(tuple, rows))]
+    wanted = [*CONTAINERS.values(), *IMAGES.values()]
+    assert all(t.count("<p>") == t.count("</p>") for t in tags)
+    for k, t in enumerate(tags):
+        others = "p" if k < len(CONTAINERS) else "p|i|div|figcaption"
+        tags[k] = re.sub(r"\s+", " ", re.sub(r"\s*/?>", ">", re.sub(rf"</?({others})>", "", t)))
+    bad = [(b[-200:], t, w) for b, t, w in zip(bodies, tags, wanted) if t != w]
+    assert not bad, bad
+
+
+def test_addresses_of_frames_follow_the_base(spark):
+    """The first base outside of comments counts, itself resolved against the page; without one the page's address does."""
+    frames = "<iframe src='in?a=1&amp;b=2'></iframe><iframe src='https://far.org/x'></iframe>"
+    heads = ["<base target='t'>", "<!-- <base href='/no/'> --><base href='/sub/dir/'>", "<base href=\"https://other.org/a&amp;b/\">"]
+    pages = spark.createDataFrame([(i, "https://e.com/d/x", f"<html><head>{h}</head><body>{frames}</body></html>") for i, h in enumerate(heads)], "page_id bigint, url string, html string")
+    got = [[r.src for r in sorted(page_frames(pages).where(F.col("page_id") == i).collect(), key=lambda r: r.frame)] for i in range(3)]
+    assert got == [[f"{b}in?a=1&b=2", "https://far.org/x"] for b in ("https://e.com/d/", "https://e.com/sub/dir/", "https://other.org/a&b/")]

@@ -167,3 +167,9 @@ META_NAME = (
 
 # Media tags whose addresses are resolved in an article.
 MEDIA_TAGS = ["img", "picture", "figure", "video", "audio", "source"]
+
+# Containers that are collapsed when nested, and what attribute values of a lazily loaded image look like.
+NESTED_CONTAINERS = ["div", "section"]
+IMAGE_NAME = r"(?i)\.(jpg|jpeg|png|webp)"
+LAZY_SRCSET = r"\.(jpg|jpeg|png|webp)\s+\d"
+LAZY_SRC = r"^\s*\S+\.(jpg|jpeg|png|webp)\S*\s*$"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webquarry.functions.text import decode_entities
+from webquarry.functions.text import decode_entities, let
 
 # Patterns of the token stream and of one attribute.
 TOKEN = (
@@ -85,5 +85,32 @@ def attrs_map(tok: Column) -> Column:
     )
 
 
+def quoted(name: Column, value: Column) -> Column:
+    """An attribute as the source of a tag has it, after a space."""
+    for sign, written in (("&", "&amp;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(sign), F.lit(written))
+    return F.concat(F.lit(" "), name, F.lit('="'), value, F.lit('"'))
+
+
+def without_attr(tok: Column, name: str) -> Column:
+    return F.regexp_replace(tok, before_value(name), "$1")
+
+
+def with_attr(tok: Column, name: str, value: Column) -> Column:
+    """The source of a tag with an attribute set, in place of the one it had."""
+    start = r"^<[^\s/>]+"
+    rest = F.regexp_replace(without_attr(tok, name), start, "")
+    return F.concat(F.regexp_extract(tok, start, 0), quoted(F.lit(name), value), rest)
+
+
+def merged(toks: Column) -> Column:
+    """The last of some tags with the attributes of all of them; of equal names the first tag's counts."""
+    named = F.transform(F.flatten(F.transform(toks, attributes)), lambda a, i: F.struct(a["name"].alias("name"), i.alias("at"), a["value"].alias("value")))
+    firsts = let(F.array_sort(named), lambda s: F.filter(s, lambda a, i: (i == 0) | (F.get(s, i - 1)["name"] != a["name"])))
+    ordered = F.array_sort(F.transform(firsts, lambda a: F.struct(a["at"].alias("at"), a["name"].alias("name"), a["value"].alias("value"))))
+    written = F.array_join(F.transform(ordered, lambda a: quoted(a["name"], a["value"])), "")
+    return F.concat(F.regexp_extract(F.element_at(toks, -1), r"^<[^\s/>]+", 0), written, F.lit(">"))
+
+
 def match_string(cls: Column, ident: Column) -> Column:
     return F.concat(F.coalesce(cls, F.lit("")), F.lit(" "), F.coalesce(ident, F.lit("")))

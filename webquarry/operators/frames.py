@@ -19,17 +19,19 @@ UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</sty
 
 
 def page_frames(pages: DataFrame) -> DataFrame:
-    """One row per frame: ``page_id, frame, tok, src, srcdoc, title, sandboxed``."""
+    """One row per frame: ``page_id, frame, tok, src, srcdoc, title, sandboxed``; addresses follow the page's ``base``."""
     html = F.regexp_replace("html", UNSEEN, "")
+    base = X.decode_entities(M.own("href", F.regexp_extract(html, r"(?i)(<base\b[^>]*\shref\s*=[^>]*>)", 1)))
+    pages = pages.withColumn("base", F.when(base != "", U.absolutize(base, F.col("url"))).otherwise(F.col("url")))
     rows = pages.select(
-        "page_id", F.col("url").alias("page_url"),
+        "page_id", F.col("url").alias("page_url"), "base",
         F.posexplode(F.regexp_extract_all(html, F.lit(FRAME), F.lit(1))).alias("frame", "tok"))
     src = X.decode_entities(M.own("src"))
     title = F.coalesce(F.nullif(M.own("title"), F.lit("")), F.nullif(M.own("aria-label"), F.lit("")),
                        F.lit("Embedded content"))
     return rows.select(
         "page_id", "page_url", "frame", "tok",
-        F.when(src != "", U.absolutize(src, F.col("page_url"))).alias("src"),
+        F.when(src != "", U.absolutize(src, F.col("base"))).alias("src"),
         F.nullif(X.decode_entities(M.own("srcdoc")), F.lit("")).alias("srcdoc"),
         X.decode_entities(title).alias("title"), M.has_attr("sandbox").alias("sandboxed"),
         M.own("style").rlike(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden").alias("hidden"),

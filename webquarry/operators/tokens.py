@@ -228,11 +228,20 @@ def page_stream(pages: DataFrame, by=PAGE, extra: dict[str, Column] | None = Non
     if lazy:
         media = start & tag.isin(C.MEDIA_TAGS)
         rows = rows.withColumn("tok", F.when(media, resolved_media(F.col("tok"), F.col("base"))).otherwise(F.col("tok")))
-    return rows.withColumns({
+    resolved = {
         "url": U.absolutize(X.decode_entities(F.col("url")), F.col("base")),
         "label": X.decode_entities(F.col("label")),
         "hint": X.decode_entities(F.col("hint")),
-    }).drop("base")
+    }
+    if lazy:
+        # what a figure without an image would show: the first attribute that names one, an address or a source set
+        attrs = M.attributes(F.col("tok"))
+        named = F.filter(attrs, lambda a: ~a["name"].isin("src", "srcset", "alt") & (a["value"].rlike(C.LAZY_SRCSET) | a["value"].rlike(C.LAZY_SRC)))
+        first = F.get(named, 0)["value"]
+        figure = start & (tag == "figure")
+        resolved["url"] = F.when(figure, F.when(~first.rlike(C.LAZY_SRCSET), U.absolutize(F.btrim(first), F.col("base")))).otherwise(resolved["url"])
+        resolved["hint"] = F.when(figure, F.when(first.rlike(C.LAZY_SRCSET), U.absolutize_srcset(first, F.col("base")))).otherwise(resolved["hint"])
+    return rows.withColumns(resolved).drop("base")
 
 
 HEAD = "struct<url:string,title:string,html_tok:string,ref:string>"
@@ -250,19 +259,34 @@ def resolved_media(tok: Column, base: Column) -> Column:
     return tok
 
 
+def shown_by(attrs: Column, srcset: bool) -> Column:
+    """The attributes that hold an image's address, or a source set, for later."""
+    several = C.LAZY_SRCSET
+    return F.filter(attrs, lambda a: ~a["name"].isin("src", "srcset", "alt") & (
+        a["value"].rlike(several) if srcset else ~a["value"].rlike(several) & a["value"].rlike(C.LAZY_SRC)))
+
+
 def show_lazy(tok: Column) -> Column:
-    """The image that a lazily loaded element will show becomes its ``src``."""
-    src, cls = M.own("src", tok), F.lower(M.own("class", tok))
-    found = F.regexp_extract(
-        F.regexp_replace(tok, r"""(?i)\s(src|alt)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", ""),
-        r"""(?i)=\s*["']?\s*([^\s"'>]+\.(?:jpg|jpeg|png|webp)[^\s"',>]*)\s*["'\s>]""", 1)
-    placeholder = src.rlike(C.BASE64_URL) & ~src.rlike("(?i)^data:\\s*image/svg") & (
-        F.length(F.regexp_replace(src, C.BASE64_URL, "")) < 133)
-    hidden = (src == "") | cls.contains("lazy") | placeholder
-    rest = F.regexp_replace(tok, r"""(?i)^<(\w+)|\ssrc\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", "")
-    shown = F.concat(F.lit("<"), F.regexp_extract(tok, r"^<(\w+)", 1), F.lit(' src="'), found,
-                     F.lit('"'), rest)
-    return F.when(hidden & (found != ""), shown).otherwise(tok)
+    """What a lazily loaded image will show becomes its ``src`` and ``srcset``; of several such attributes the last counts.
+
+    A tiny placeholder in base 64 goes if another attribute names an image; a drawing stays as it is."""
+    src, srcset, cls = M.own("src", tok), M.own("srcset", tok), F.lower(M.own("class", tok))
+    inline = src.rlike(C.BASE64_URL)
+    drawing = src.rlike("(?i)^data:\\s*image/svg\\+xml\\s*;\\s*base64")
+    tiny = inline & (F.length(F.regexp_replace(src, C.BASE64_URL, "")) < 133)
+
+    def shown(attrs: Column) -> Column:
+        others = F.exists(attrs, lambda a: (a["name"] != "src") & a["value"].rlike(C.IMAGE_NAME))
+        gone = tiny & others
+        out = F.when(gone, M.without_attr(tok, "src")).otherwise(tok)
+        seen = ((src != "") & ~gone) | ~srcset.isin("", "null")
+        put = out
+        for name in ("src", "srcset"):
+            value = F.try_element_at(shown_by(attrs, name == "srcset"), F.lit(-1))["value"]
+            put = F.when(value.isNotNull(), M.with_attr(put, name, value)).otherwise(put)
+        return F.when(drawing | (seen & ~cls.contains("lazy")), F.when(drawing, tok).otherwise(out)).otherwise(put)
+
+    return X.let(M.attributes(tok), shown)
 
 
 def balance(rows: DataFrame, by=PAGE, extra=()) -> DataFrame:
