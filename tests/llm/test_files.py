@@ -150,6 +150,22 @@ def test_specials_in_all_forms(spark, library, tmp_path):
     assert sorted(tuple(r) for r in tokenfile.positions(spark, path).collect()) == plain_positions(library, list(enumerate(texts)))
 
 
+def test_marks_beside_words(monkeypatch):
+    """Letters and marks are parted before the lookup, words forgotten and texts cut at any place: ids stay the library's."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    bits = ["a", "the", "É", "ñ", "ß", "×", "÷", "23", "½", "'s", "'", "'LL", *"!\"#$%&()*+,-./:;=?@[\\]^_`{}~<|>", "###", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\t", "\u0301", "\u0338", "\x1c", "\x85", "\u00a0", "你", "K", "İ", "ﬁ", "😀", "\x00"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(15))) for _ in range(20_000)]
+    texts += [w + m for w in ("word", "w1", "é", "×", "x÷") for c in map(chr, range(33, 127)) for m in (c, c * 3, c + "'s", "'" + c, c + "word")]
+    monkeypatch.setattr(tokenfile, "LOOKUP", 5000)
+    monkeypatch.setattr(tokenfile, "MEMO", 1000)
+    stretches = common.stretches
+    monkeypatch.setattr(common, "stretches", lambda data: stretches(data, 7))
+    values, sizes = tokenfile._encoded(tokenfile._Words(library), [t.encode() or None for t in texts], 1)
+    ends = [0, *sizes.cumsum().tolist()]
+    assert [values[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[*e.ids, 1] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("ids", ["none", "hot", "both", "copies"])
 def test_many_rows_of_one_id(spark, library, tmp_path, ids):
     """No task gets all rows of an id, or of none, and the files hold the ids in ascending order of ids."""

@@ -16,18 +16,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a text in order, in lists from about `size` bytes each, so that a very long text is never held as one list."""
+def stretches(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in order, cut at white space from about `size` bytes on."""
     start = 0
     while start < len(data):
         end = len(data)
         if start + size < len(data):
             found = _SPACE.search(data, start + size)
             end = found.start() if found else len(data)
-        yield data[start:end].split()
+        yield data[start:end]
         start = end
 
 
+def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in order, in lists from about `size` bytes each, so that a very long text is never held as one list."""
+    return (part.split() for part in stretches(data, size))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -37,6 +37,8 @@ _LEAST, _ALL = -(1 << 63) - 1, 1 << 63
 STRIPE = 16 << 20
 #: Words that a worker keeps with their ids, in each of two generations.
 MEMO = 300_000
+#: Bytes of text whose words are looked up at once.
+LOOKUP = 4 << 20
 
 
 def bounds(docs: DataFrame, doc_id: str, text: str = "text", shard: int = SHARD, most: int = SHARDS) -> list[tuple]:
@@ -72,9 +74,9 @@ class _Words(dict):
     Of two generations: when the young one is full it becomes the old one, from which words in use come back, so no more than twice
     MEMO words are kept.
 
-    New words of letters only are merged in one go, a space between them: each is one piece of the tokenizer's pattern, and the last
-    token of a piece is one with the vocabulary's end mark. A word that ends in marks has the ids of the word and of the marks. All other words
-    go through the tokenizer one by one."""
+    Letters or digits and marks next to each other are parted first, as the tokenizer's pattern does. New words of letters only are merged in
+    one go, a space between them: each is one piece of the pattern, and the last token of a piece is one with the vocabulary's end mark. All other
+    words go through the tokenizer one by one."""
 
     def __init__(self, tokenizer):
         self.tokenizer, self.old = tokenizer, {}
@@ -87,36 +89,36 @@ class _Words(dict):
         self.last = np.zeros(max(model["vocab"].values()) + 1000, bool)
         self.last[[i for t, i in model["vocab"].items() if t.endswith(self.mark)]] = True
 
-    def ids(self, words: list[list[bytes]]) -> list[list[bytes]]:
-        """Ids of the words of some texts; each word is looked up once, and once more only if it was new."""
-        found = [[*map(self.get, own)] for own in words]
-        gaps = [[k for k, ids in enumerate(got) if ids is None] for got in found]
-        self.learn({own[k] for own, at in zip(words, gaps) for k in at})
-        for own, got, at in zip(words, found, gaps):
-            for k in at:
-                got[k] = self[own[k]]
-        return found
-
-    def learn(self, missing: set[bytes]) -> None:
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some stretches of text, one after the other, and how many each has. A word is looked up once, however often it occurs."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.ascii_split_whitespace(_parted(texts))
+        own = words.flatten().dictionary_encode()
+        distinct = own.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.get, distinct)]
+        gaps = [k for k, ids in enumerate(known) if ids is None]
+        self.learn([distinct[k] for k in gaps])
+        for k in gaps:
+            known[k] = self[distinct[k]]
+        found = pa.array(known, pa.binary()).take(own.indices)
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int32)[: len(found) + 1] if ends else np.zeros(1, np.int32)
+        values = np.frombuffer(data or b"", "<u4")[: ends[-1] // 4]
+        return values, np.diff(ends[words.offsets.to_numpy()].astype(np.int64)) // 4
+
+    def learn(self, missing: list[bytes]) -> None:
         if len(self) + len(missing) > MEMO:
             self.old = dict(self)
             self.clear()
-        old, wanted, marked = self.old, set(), []
+        old, new = self.old, []
         for w in missing:
             if (known := old.get(w)) is not None:
                 self[w] = known
-            elif w[-1] in _MARK and (found := _MARKS.search(w)):
-                parts = w, w[: found.start()], found[0]
-                marked.append(parts)
-                wanted.update(p for p in parts[1:] if p not in self)
             else:
-                wanted.add(w)
-        for w in [w for w in wanted if w in old]:
-            self[w] = old[w]
-            wanted.discard(w)
-        self._encode(list(wanted))
-        for w, word, marks in marked:
-            self[w] = self[word] + self[marks]
+                new.append(w)
+        self._encode(new)
 
     def _encode(self, new: list[bytes]) -> None:
         texts = [w.decode().lower() for w in new]
@@ -142,22 +144,66 @@ class _Words(dict):
 
 #: A word of letters below U+0180, in lower case: one piece of the tokenizer's pattern, and in normal form.
 _PLAIN = re.compile("[a-zªµºß-öø-ſ]+")
-#: Prose marks after a letter (of ASCII or Latin-1) or digit, at the end of a word: a piece of their own in the tokenizer's pattern.
-_MARKS = re.compile(rb"[.,;:!?](?:(?<=[0-9A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?]*\Z")
-_MARK = frozenset(b".,;:!?")
+#: Kinds of bytes: 1 for letters and digits, 2 for marks. No piece of the tokenizer's pattern holds one of each next to each other. Apostrophes,
+#: which begin contractions, and the signs of special tokens are of no kind.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = 1
+_KINDS[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+
+
+def _parted(texts: list[bytes]):
+    """The texts as an Arrow array, with a space between letters or digits and marks."""
+    import pyarrow as pa
+
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    kinds = _KINDS[data]
+    # letters of Latin-1 end in a byte of their own: all after 0xC3 but those of the signs for times and division
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    kinds[at[(data[at] != 0x97) & (data[at] != 0xB7)]] = 1
+    cuts = np.flatnonzero(kinds[:-1] + kinds[1:] == 3) + 1
+    ends = np.cumsum([0, *map(len, texts)])
+    ends += np.searchsorted(cuts, ends, "left")
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.insert(data, cuts, 32)))
+
+
 #: What a Python worker has learnt, by the tokenizer's text: the next task goes on with it.
 _KEPT: dict[str, _Words] = {}
 
 
-def _words(text: str | None) -> Iterator[list[bytes]]:
-    """Words of a text, a megabyte at a time.
+def _stretches(data: bytes | None) -> Iterator[bytes]:
+    """A text, a megabyte at a time.
 
     A-Z are lowered here only where that is what the tokenizer does: its special tokens are found first, as they are written, and it joins letters with
     marks above and below them before it lowers letters, and not all lower letters have the forms of upper ones."""
-    data = (text or "").encode()
+    data = data or b""
     if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
         data = data.lower()
-    return common.word_chunks(data)
+    return common.stretches(data)
+
+
+def _encoded(words: _Words, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, one after the other, each with its end id, and how many each has; about `LOOKUP` bytes are split into words at once."""
+    sizes, runs, owners, held, n = np.zeros(len(texts), np.int64), [], [], [], 0
+
+    def look() -> None:
+        values, found = words.ids(held)
+        runs.append(values)
+        np.add.at(sizes, owners, found)
+        owners.clear()
+        held.clear()
+
+    for k, text in enumerate(texts):
+        for part in _stretches(text):
+            owners.append(k)
+            held.append(part)
+            n += len(part)
+            if n >= LOOKUP:
+                look()
+                n = 0
+    if held:
+        look()
+    values = np.concatenate(runs) if runs else np.zeros(0, "<u4")
+    return np.insert(values, np.cumsum(sizes), end), sizes + 1
 
 
 def encode(docs: DataFrame, path: str, edges: list[tuple], doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
@@ -181,6 +227,7 @@ def encode(docs: DataFrame, path: str, edges: list[tuple], doc_id: str = "doc_id
         import os
 
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -188,15 +235,19 @@ def encode(docs: DataFrame, path: str, edges: list[tuple], doc_id: str = "doc_id
         if shared.value not in _KEPT:
             _KEPT.clear()
             _KEPT[shared.value] = _Words(Tokenizer.from_str(shared.value))
-        memo, stop = _KEPT[shared.value], np.array([end], "<u4").tobytes()
+        words = _KEPT[shared.value]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                words = [[w for chunk in _words(t) for w in chunk] for t in part.column("text").to_pylist()]
-                ids = [b"".join(own) + stop for own in memo.ids(words)]
-                sizes = np.array([len(i) // 4 for i in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                arrays = [pa.array(shards(part).astype(np.int32)), part.column("doc_id"), pa.array(sizes), lists, pa.array([zlib.crc32(i) for i in ids], pa.int64())]
+            texts = batch.column("text").cast(pa.binary())
+            # rows of some megabytes of text go on at a time
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // LOOKUP)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                values, sizes = _encoded(words, texts.slice(a, b - a).to_pylist(), end)
+                stops = np.r_[0, np.cumsum(sizes)]
+                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values.view("<i4")))
+                sums = [zlib.crc32(values[i:j].data) for i, j in zip(stops[:-1], stops[1:])]
+                arrays = [pa.array(shards(part).astype(np.int32)), part.column("doc_id"), pa.array(sizes), lists, pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "n_tokens", "ids", "crc"])
 
     places = [F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("hash"), F.monotonically_increasing_id().alias("number")]
