@@ -19,7 +19,7 @@ from webquarry.plans.convert import convert
 from webquarry.plans.full_page import full_page_markdown
 from webquarry.sources import sinks
 from webquarry.sources.pages import read_html_files, read_vocab, vocab_table
-from webquarry.streaming.convert import convert_stream, read_page_stream
+from webquarry.streaming.convert import convert_stream, newest, read_page_stream
 
 
 def names_one_by_one(titles):
@@ -255,6 +255,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.select("page_id", "markdown").exceptAll(want.select("page_id", "markdown")).count() == 0
 
 
+def test_later_versions_of_streamed_pages(spark, tmp_path):
+    """Three starts of one stream and a batch that runs twice: the same as the last versions in one batch."""
+    opt = Options(scope="fullPage")
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+
+    def page(i, word):
+        text = " ".join(f"{word} {n}, some more words of the article." for n in range(30))
+        return i, f"https://e.com/{i}", f"<html><head><title>{word}</title></head><body><p>{text}</p><p>{text}</p></body></html>"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.mode("append").parquet(source)
+        convert_stream(read_page_stream(spark, source), out, state, opt).awaitTermination()
+
+    first = [page(1, "one"), page(2, "two"), page(None, "nameless")]
+    second = [page(2, "newer"), page(3, "three"), page(3, "third"), page(None, "nameless")]
+    arrive(first)
+    arrive(second)
+    # lost after its results were written, before it was noted as done
+    (tmp_path / "state" / "commits" / "1").unlink()
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    arrive([page(1, "last")])
+    want = convert(spark.createDataFrame([first[2], *second, page(1, "last")], "page_id bigint, url string, html string"), opt)
+    columns = ["page_id", "url", "title", "success", "markdown", "token_count"]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    got = newest(spark, out)
+    assert rows(got) == rows(want)
+    assert sorted(r.title for r in got.collect()) == ["last", "nameless", "nameless", "newer", "third", "three"]
+
+
+def test_newest_rows_of_one_key(spark, tmp_path):
+    """All rows of a key's last batch stay, failures too; rows without a key always; ties are no repeats."""
+    rows = [(0, 1, "a"), (0, 1, "a"), (1, 1, "b"), (1, 1, "b"), (2, 2, None), (0, 2, "x"), (0, None, "n"), (2, None, "n"), (0, 3, "only"), (1, 4, "p"), (2, 4, "q"), (0, 4, "o")]
+    spark.createDataFrame(rows, "batch int, page_id bigint, markdown string").write.partitionBy("batch").parquet(str(tmp_path / "r"))
+    got = newest(spark, str(tmp_path / "r"))
+    assert sorted(map(str, map(tuple, got.select("page_id", "markdown").collect()))) == sorted(map(str, [(1, "b"), (1, "b"), (2, None), (None, "n"), (None, "n"), (3, "only"), (4, "q")]))
+    spark.createDataFrame([], "page_id bigint, markdown string").write.parquet(str(tmp_path / "e" / "batch=0"))
+    spark.createDataFrame([], "page_id bigint, markdown string").write.parquet(str(tmp_path / "e" / "batch=1"))
+    assert newest(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_metadata_cases(spark):
     cases = {
         '<title>A page with many words | Site</title>': ("A page with many words", None),

@@ -26,7 +26,7 @@ from webquarry.plans.convert import convert, flag_lazy
 from webquarry.plans.full_page import full_page_markdown
 from webquarry.sources.pages import read_pages, select_batch
 from webquarry.sources.sinks import write_export
-from webquarry.streaming.convert import convert_stream, count_stream, read_page_stream
+from webquarry.streaming.convert import convert_stream, count_stream, newest, read_page_stream
 
 QUERIES, ORACLES = {}, {}
 
@@ -706,6 +706,19 @@ def streamed_pages(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("page_id", "markdown", "token_count")
 
 
+@query(f"SELECT CAST(page_id AS BIGINT) AS page_id, url, markdown, token_count FROM ({'WITH ' + _PARTS + _FULL_PAGE})")
+def streamed_versions(spark, sf):
+    """Drafts of all pages arrive on a stream, then the pages themselves, after a restart: the later version of each page counts."""
+    folder = work_folder(spark)
+    p = pages(spark, sf).select("page_id", "url", "html")
+    draft = p.withColumn("html", F.concat(F.lit("<title>Draft</title><p>"), F.col("page_id"), F.lit("</p>")))
+    for version in (draft, p):
+        version.write.mode("append").parquet(f"{folder}/in")
+        stream = read_page_stream(spark, f"{folder}/in")
+        convert_stream(stream, f"{folder}/out", f"{folder}/state", Options(scope="fullPage")).awaitTermination()
+    return newest(spark, f"{folder}/out").select("page_id", "url", "markdown", "token_count")
+
+
 # the bold first words of every page but each fifth, which has no selection
 @query(f"""
   SELECT page_id, url, page_id * 2 AS ord, page_id % 5 <> 0 AS success, CASE WHEN page_id % 5 <> 0 THEN '# ' || title || {_GAP} || 'Picked **'
