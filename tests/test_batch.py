@@ -255,6 +255,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.select("page_id", "markdown").exceptAll(want.select("page_id", "markdown")).count() == 0
 
 
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """The registered streams find the pages in a folder of part files as in one file."""
+    from webquarry.plans import registry
+
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(9).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    want = sorted(r.page_id for r in spark.read.parquet(str(tmp_path / "pages.parquet")).collect())
+    for query in (registry.streamed_counts, registry.streamed_pages):
+        assert sorted(r.page_id for r in query(spark, str(tmp_path)).select("page_id").collect()) == want
+
+
 def test_later_versions_of_streamed_pages(spark, tmp_path):
     """Three starts of one stream and a batch that runs twice: the same as the last versions in one batch."""
     opt = Options(scope="fullPage")

@@ -14,8 +14,8 @@ PAGES = "page_id bigint, url string, html string"
 
 
 def read_page_stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.readStream.schema(PAGES)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    """Pages from the Parquet files of a folder; with ``glob``, of what is in it under such names, files or folders of files."""
+    return spark.readStream.schema(PAGES).parquet(f"{path}/{glob}" if glob else path)
 
 
 def convert_stream(pages: DataFrame, path: str, checkpoint: str, opt: Options = Options()) -> StreamingQuery:
