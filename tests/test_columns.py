@@ -131,3 +131,22 @@ def test_own_attribute(spark):
     cases = {'<a title="x href=z" HREF = "/y">': "/y", "<a href='/q' href=2>": "/q", "<a href>": "", "<a xhref=1>": "",
              "<a class=b href=/u/>": "/u/", "<a\n data-href='n'\n href=m>": "m"}
     assert values(spark, list(cases), lambda c: M.own("href", c)) == list(cases.values())
+
+
+def test_long_texts_are_taken_apart_once(spark):
+    """A step inside a lambda is not worked out again for each run of backticks, or for each word."""
+    import time
+
+    many = 20_000
+    start = time.time()
+    runs = "".join("`" * (1 + i % 3) + "a" for i in range(many))
+    assert values(spark, [runs], X.inline_code) == [f"```` {runs} ````"]
+    words = " ".join(f"w{i}" for i in range(many))
+    assert values(spark, [words], lambda c: X.text_similarity(c, F.concat(c, F.lit(" x")))) == [1 - 1 / (len(words) + 2)]
+    assert time.time() - start < 20
+
+
+def test_padding_of_code_spans(spark):
+    texts = [" a ", " a", "   ", "   ", " a b ", "    ", " " * 50_000 + "a", None]
+    pad = [" ", "", "", " ", " ", "", "", None]
+    assert values(spark, texts, X.inline_code) == [None if t is None else f"`{p}{t}{p}`" for t, p in zip(texts, pad)]
