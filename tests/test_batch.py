@@ -459,3 +459,17 @@ def test_addresses_of_frames_follow_the_base(spark):
     pages = spark.createDataFrame([(i, "https://e.com/d/x", f"<html><head>{h}</head><body>{frames}</body></html>") for i, h in enumerate(heads)], "page_id bigint, url string, html string")
     got = [[r.src for r in sorted(page_frames(pages).where(F.col("page_id") == i).collect(), key=lambda r: r.frame)] for i in range(3)]
     assert got == [[f"{b}in?a=1&b=2", "https://far.org/x"] for b in ("https://e.com/d/", "https://e.com/sub/dir/", "https://other.org/a&b/")]
+
+
+def test_partitions_follow_the_size_of_the_html(spark, monkeypatch):
+    """A large table is dealt out by its bytes, whatever adaptive execution would put together, with the same results."""
+    from webquarry.operators import tokens as T
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    small = full_page_markdown(pages)
+    want = sorted(map(str, small.collect()))
+    size = sum(len(r.html.encode()) for r in pages.collect())
+    monkeypatch.setattr(T, "TASK_BYTES", size // 20)
+    assert T.spread(pages).rdd.getNumPartitions() >= 20
+    assert T.keyed(pages).rdd.getNumPartitions() >= 20
+    assert sorted(map(str, full_page_markdown(pages).collect())) == want
