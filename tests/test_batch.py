@@ -473,3 +473,23 @@ def test_partitions_follow_the_size_of_the_html(spark, monkeypatch):
     assert T.spread(pages).rdd.getNumPartitions() >= 20
     assert T.keyed(pages).rdd.getNumPartitions() >= 20
     assert sorted(map(str, full_page_markdown(pages).collect())) == want
+
+
+def test_article_steps_are_written_in_between(spark, monkeypatch):
+    """No plan of the article holds so many windows that tasks compile them again and again and hold a sort for each."""
+    from webquarry.operators import article as A
+    from webquarry.operators.lineage import cut
+    from webquarry.operators.tokens import keyed
+    from webquarry.plans import article as P
+
+    seen = []
+
+    def counted(df, by=None):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Window ["))
+        return cut(df, by)
+
+    monkeypatch.setattr(A, "cut", counted, raising=False)
+    monkeypatch.setattr(P, "cut", counted)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(5)
+    assert P.article_stream(keyed(pages)).select("page_id").distinct().count() == 5
+    assert 0 < max(seen) <= 24
