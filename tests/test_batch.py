@@ -493,3 +493,24 @@ def test_article_steps_are_written_in_between(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(5)
     assert P.article_stream(keyed(pages)).select("page_id").distinct().count() == 5
     assert 0 < max(seen) <= 24
+
+
+def test_article_steps_run_in_small_methods(spark, monkeypatch):
+    """Plans of many windows are not compiled as a whole, into methods too large for the JVM's compiler; the session's setting stays as it was."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from webquarry.operators.lineage import WHOLE_STAGE
+    from webquarry.operators.tokens import keyed
+    from webquarry.plans import article as P
+
+    seen, checkpoint = [], DataFrame.checkpoint
+
+    def watched(self, *given):
+        seen.append(spark.conf.get(WHOLE_STAGE))
+        return checkpoint(self, *given)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", watched)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(5)
+    assert P.article_stream(keyed(pages)).select("page_id").distinct().count() == 5
+    assert seen and set(seen) == {"false"}
+    assert spark.conf.get(WHOLE_STAGE, None) is None

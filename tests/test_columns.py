@@ -150,3 +150,12 @@ def test_padding_of_code_spans(spark):
     texts = [" a ", " a", "   ", "   ", " a b ", "    ", " " * 50_000 + "a", None]
     pad = [" ", "", "", " ", " ", "", "", None]
     assert values(spark, texts, X.inline_code) == [None if t is None else f"`{p}{t}{p}`" for t, p in zip(texts, pad)]
+
+
+def test_all_signs_but_white_space(spark):
+    """The class that asks for common signs first holds the same signs as the plain one."""
+    signs = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    plain = values(spark, signs, lambda c: c.rlike(f"[^{X.WS}]"))
+    assert values(spark, signs, lambda c: c.rlike(X.NO_WS)) == plain
+    assert values(spark, signs, lambda c: F.right(c, F.lit(1)).rlike(X.NO_WS)) == values(spark, signs, lambda c: c.rlike(rf"[^{X.WS}]\z"))
+    assert plain.count(False) == len(X.WS_CHARS)
