@@ -159,3 +159,10 @@ def test_all_signs_but_white_space(spark):
     assert values(spark, signs, lambda c: c.rlike(X.NO_WS)) == plain
     assert values(spark, signs, lambda c: F.right(c, F.lit(1)).rlike(X.NO_WS)) == values(spark, signs, lambda c: c.rlike(rf"[^{X.WS}]\z"))
     assert plain.count(False) == len(X.WS_CHARS)
+    assert values(spark, signs, lambda c: c.rlike(X.ONE_WS)) == [not p for p in plain]
+
+
+def test_words_of_all_white_space(spark):
+    """Words between white space of all kinds, also at the ends; 3 quarters of a word outweigh a quarter of its few signs."""
+    texts = [" \u3000" + "a 語\u00a0x\t" * 5_000 + "é", "".join("a" + s for s in X.WS_CHARS), "", " \n", None]
+    assert values(spark, texts, X.token_estimate) == [15_001 * 3 // 4 + 1, len(X.WS_CHARS) * 3 // 4 + (len(X.WS_CHARS) * 3 % 4 > 0), 0, 1, 0]
