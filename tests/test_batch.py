@@ -503,14 +503,15 @@ def test_article_steps_run_in_small_methods(spark, monkeypatch):
     from webquarry.operators.tokens import keyed
     from webquarry.plans import article as P
 
-    seen, checkpoint = [], DataFrame.checkpoint
+    seen, windows, checkpoint = [], [], DataFrame.checkpoint
 
     def watched(self, *given):
         seen.append(spark.conf.get(WHOLE_STAGE))
+        windows.append(self._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
         return checkpoint(self, *given)
 
     monkeypatch.setattr(DataFrame, "checkpoint", watched)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(5)
     assert P.article_stream(keyed(pages)).select("page_id").distinct().count() == 5
-    assert seen and set(seen) == {"false"}
+    assert seen and set(seen) == {"false"} and 0 < max(windows) <= 24
     assert spark.conf.get(WHOLE_STAGE, None) is None
